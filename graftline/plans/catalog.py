@@ -1,6 +1,403 @@
-"""The queries over the driver's tables, with their SQL."""
+"""The queries over the driver's tables as a graph, each with the SQL of what it returns."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graftline.functions import attribute_sets as A
+from graftline.graph import Graph
+from graftline.operators import category
+from graftline.operators.hierarchy import Typed
+from graftline.operators.pattern import Pattern, match
+from graftline.operators.rewrite import Rule, rewrite
+from graftline.sources.tables import json_rows, node, read, tpch_graph
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def frame(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+GEO = ("region", "nation", "customer", "supplier")
+
+# SQL of the parts of the graph
+N = {"r": "select 'r:'||r_regionkey id from region", "n": "select 'n:'||n_nationkey id from nation", "c": "select 'c:'||c_custkey id from customer", "s": "select 's:'||s_suppkey id from supplier", "p": "select 'p:'||p_partkey id from part", "o": "select 'o:'||o_orderkey id from orders"}
+E = {"nr": "select 'n:'||n_nationkey src, 'r:'||n_regionkey dst from nation", "cn": "select 'c:'||c_custkey src, 'n:'||c_nationkey dst from customer", "sn": "select 's:'||s_suppkey src, 'n:'||s_nationkey dst from supplier", "oc": "select 'o:'||o_orderkey src, 'c:'||o_custkey dst from orders", "sp": "select distinct 's:'||l_suppkey src, 'p:'||l_partkey dst from lineitem"}
+GEO_N = " union all ".join(N[x] for x in "rncs")
+GEO_E = " union all ".join(E[x] for x in ("nr", "cn", "sn"))
+
+
+@query(" union all ".join(f"select id node_id from ({x})" for x in N.values()))
+def node_scan(spark, sf):
+    return tpch_graph(spark, sf).nodes
+
+
+@query(" union all ".join(f"select src, dst from ({x})" for x in E.values()))
+def edge_scan(spark, sf):
+    return tpch_graph(spark, sf, supplies=True).edges
+
+
+@query("select 'r:'||r_regionkey node_id, 'name' key, r_name value from region union all select 'n:'||n_nationkey, 'name', n_name from nation union all select 'c:'||c_custkey, 'segment', c_mktsegment from customer union all select 's:'||s_suppkey, 'name', s_name from supplier")
+def node_attr_rows(spark, sf):
+    return tpch_graph(spark, sf, GEO).node_attrs
+
+
+@query(f"select src, dst from ({GEO_E})")
+def json_roundtrip(spark, sf):
+    rows = json_rows(tpch_graph(spark, sf, GEO)).filter("kind = 'edge'")
+    return rows.select(F.from_json("doc", "`from` string, `to` string").alias("x")).select(F.col("x.from").alias("src"), F.col("x.to").alias("dst"))
+
+
+@query("select 's:'||l_suppkey src, 'p:'||l_partkey dst from lineitem group by all having bool_or(l_returnflag = 'R')")
+def filter_edges_by_attr(spark, sf):
+    return tpch_graph(spark, sf, ("supplier", "part"), supplies=True).filter_edges("returnflag", lambda v: F.array_contains(v, "R")).edges
+
+
+@query("select 's:'||l_suppkey src, 'p:'||l_partkey dst from lineitem where l_returnflag in ('R', 'N') group by all having count(distinct l_returnflag) = 2")
+def attr_inclusion(spark, sf):
+    return tpch_graph(spark, sf, ("supplier", "part"), supplies=True).edges_with({"returnflag": ["R", "N"]})
+
+
+@query("select 'c:'||c_custkey src, 'n:'||c_nationkey dst from customer where c_mktsegment = 'BUILDING'")
+def induced_subgraph(spark, sf):
+    g = tpch_graph(spark, sf, ("nation", "customer"))
+    chosen = g.nodes_with({"segment": ["BUILDING"]}).unionByName(g.nodes.filter("node_id like 'n:%'"))
+    return g.subgraph(chosen).edges
+
+
+@query("select true as equal")
+def graph_equal(spark, sf):
+    g = tpch_graph(spark, sf, GEO)
+    return g.equal(Graph(g.nodes.orderBy(F.desc("node_id")), g.edges.repartition(5), g.node_attrs, g.edge_attrs))
+
+
+@query("select 'c:'||c_custkey c, 'n:'||c_nationkey n from customer where c_mktsegment = 'BUILDING'")
+def match_edge(spark, sf):
+    return match(tpch_graph(spark, sf, ("nation", "customer")), Pattern({"c": {"segment": ["BUILDING"]}, "n": {}}, {("c", "n"): {}}))
+
+
+def _typing(g: Graph) -> DataFrame:
+    return g.nodes.select("node_id", F.substring_index("node_id", ":", 1).alias("type"))
+
+
+@query("with sp as (select distinct l_suppkey s, l_partkey p from lineitem) select 's:'||a.s s1, 's:'||b.s s2, 'p:'||a.p p, 'n:'||x.s_nationkey n from sp a join sp b on a.p = b.p and a.s <> b.s join supplier x on x.s_suppkey = a.s join supplier y on y.s_suppkey = b.s and x.s_nationkey = y.s_nationkey")
+def match_coshipment(spark, sf):
+    g = tpch_graph(spark, sf, ("nation", "supplier", "part"), supplies=True)
+    p = Pattern({"s1": {}, "s2": {}, "p": {}, "n": {}}, {("s1", "p"): {}, ("s2", "p"): {}, ("s1", "n"): {}, ("s2", "n"): {}}, {"p": "p", "n": "n"})
+    return match(g, p, _typing(g))
+
+
+@query("select 'c:'||o_custkey c, 'o:'||o_orderkey o, 'n:'||c_nationkey n, 'r:'||n_regionkey r from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
+def match_path_typed(spark, sf):
+    g = tpch_graph(spark, sf, ("region", "nation", "customer", "orders"))
+    p = Pattern({"o": {}, "c": {}, "n": {}, "r": {}}, {("o", "c"): {}, ("c", "n"): {}, ("n", "r"): {}}, {"o": "o", "c": "c", "n": "n", "r": "r"})
+    return match(g, p, _typing(g))
+
+
+@query("select 'c:'||c_custkey c, 'o:'||o_orderkey o, 'n:'||c_nationkey n from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING' and o_orderstatus = 'F'")
+def match_customer_order_part(spark, sf):
+    """The flagship: orders of one status by customers of one segment, and their nations."""
+    g = tpch_graph(spark, sf, ("nation", "customer", "orders"))
+    p = Pattern({"o": {"status": ["F"]}, "c": {"segment": ["BUILDING"]}, "n": {}}, {("o", "c"): {}, ("c", "n"): {}})
+    return match(g, p)
+
+
+@query("select 'n:'||n_nationkey a, 'r:'||n_regionkey b from nation union all select 'r:'||n_regionkey, 'n:'||n_nationkey from nation")
+def match_undirected(spark, sf):
+    return match(tpch_graph(spark, sf, ("region", "nation")), Pattern({"a": {}, "b": {}}, {("a", "b"): {}}, directed=False))
+
+
+@query("select 'n:'||n_nationkey n, 'r:'||n_regionkey r, 'r:'||r_regionkey x from nation, region where n_regionkey <> r_regionkey")
+def match_isolated(spark, sf):
+    g = tpch_graph(spark, sf, ("region", "nation"))
+    return match(g, Pattern({"n": {}, "r": {}, "x": {}}, {("n", "r"): {}}, {"x": "r"}), _typing(g))
+
+
+@query("select 's:'||l_suppkey s, 'p:'||l_partkey p from lineitem where l_returnflag in ('A', 'N') group by all having count(distinct l_returnflag) = 2")
+def match_set_attr(spark, sf):
+    g = tpch_graph(spark, sf, ("supplier", "part"), supplies=True)
+    return match(g, Pattern({"s": {}, "p": {}}, {("s", "p"): {"returnflag": ["A", "N"]}}))
+
+
+@query("select 'c:'||c_custkey c, 'n:'||c_nationkey n from customer where c_nationkey < 5")
+def match_restricted_nodes(spark, sf):
+    g = tpch_graph(spark, sf, ("nation", "customer"))
+    within = g.nodes.filter("node_id like 'c:%'").unionByName(spark.range(5).select(node("n", "id").alias("node_id")))
+    return match(g, Pattern({"c": {}, "n": {}}, {("c", "n"): {}}), within=within)
+
+
+def _over(spark, sf, table: str, key: str, prefix: str) -> DataFrame:
+    return read(spark, sf, table).select(node(prefix, key).alias("old"), node("n", f"{prefix}_nationkey").alias("new"))
+
+
+@query("select 'c:'||c_custkey b, 's:'||s_suppkey c from customer join supplier on c_nationkey = s_nationkey")
+def pullback_nodes(spark, sf):
+    b, c = tpch_graph(spark, sf, ("customer",)), tpch_graph(spark, sf, ("supplier",))
+    return category.pullback(b, c, _over(spark, sf, "customer", "c_custkey", "c"), _over(spark, sf, "supplier", "s_suppkey", "s"))[0]
+
+
+@query(f"select distinct id node_id from ({N['n']} union all {N['c']} union all {N['s']})")
+def pushout_glue(spark, sf):
+    b, c = tpch_graph(spark, sf, ("nation", "customer")), tpch_graph(spark, sf, ("nation", "supplier"))
+    same = read(spark, sf, "nation").select(node("n", "n_nationkey").alias("old"), node("n", "n_nationkey").alias("new"))
+    return category.pushout(b, c, same, same).nodes
+
+
+@query("select distinct 'n:'||c_nationkey node_id from customer")
+def image_factorization(spark, sf):
+    return category.image(tpch_graph(spark, sf, ("customer",)), _over(spark, sf, "customer", "c_custkey", "c")).nodes
+
+
+@query("select 'c:'||c_custkey old, 'r:'||n_regionkey as new from customer join nation on c_nationkey = n_nationkey")
+def map_compose(spark, sf):
+    up = read(spark, sf, "nation").select(node("n", "n_nationkey").alias("old"), node("r", "n_regionkey").alias("new"))
+    return category.compose(_over(spark, sf, "customer", "c_custkey", "c"), up)
+
+
+@query("select 'c:'||c_custkey node_id from customer where c_nationkey = 7")
+def inverse_image(spark, sf):
+    return category.inverse_image(_over(spark, sf, "customer", "c_custkey", "c"), frame(spark, [("n:7",)], "node_id string"))
+
+
+@query("select distinct 's:'||l_suppkey \"left\", 'o:'||o_orderkey \"right\" from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus = 'P'")
+def relation_compose(spark, sf):
+    lines = read(spark, sf, "lineitem").select(node("s", "l_suppkey").alias("left"), F.col("l_orderkey").alias("right"))
+    orders = read(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("left"), node("o", "o_orderkey").alias("right"))
+    return category.relation_compose(lines, orders)
+
+
+@query(f"select src, dst from ({E['sn']})")
+def homomorphism_violations(spark, sf):
+    g = tpch_graph(spark, sf, GEO)
+    schema = g.with_(nodes=frame(spark, [(x,) for x in "rncs"], "node_id string"), edges=frame(spark, [("n", "r"), ("c", "n")], "src string, dst string"))
+    return category.homomorphism_violations(g, schema, _typing(g).withColumnsRenamed({"node_id": "old", "type": "new"}))
+
+
+@query(f"select src, dst from ({GEO_E}) where src not like 's:%'")
+def subtract_graph(spark, sf):
+    return tpch_graph(spark, sf, GEO).subtract(tpch_graph(spark, sf, ("nation", "supplier"))).edges.unionByName(tpch_graph(spark, sf, ("region", "nation")).edges).distinct()
+
+
+def _by_region(spark, sf) -> DataFrame:
+    return read(spark, sf, "nation").select(node("n", "n_nationkey").alias("old"), F.concat(F.lit("m:"), F.col("n_regionkey").cast("string")).alias("new"))
+
+
+@query("select distinct 'c:'||c_custkey src, 'm:'||n_regionkey dst from customer join nation on c_nationkey = n_nationkey union all select distinct 'm:'||n_regionkey, 'r:'||n_regionkey from nation")
+def merge_nodes_union(spark, sf):
+    return tpch_graph(spark, sf, ("region", "nation", "customer")).rename(_by_region(spark, sf)).edges
+
+
+@query("select 'm:'||n_regionkey node_id, 'name' key, n_name value from nation union all select 'r:'||r_regionkey, 'name', r_name from region")
+def merge_attrs_union(spark, sf):
+    return tpch_graph(spark, sf, ("region", "nation")).rename(_by_region(spark, sf)).node_attrs
+
+
+@query("select 'm:'||n_regionkey node_id, count(*) degree from customer join nation on c_nationkey = n_nationkey group by 1")
+def degree_after_merge(spark, sf):
+    g = tpch_graph(spark, sf, ("nation", "customer")).rename(_by_region(spark, sf))
+    return g.edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("degree"))
+
+
+SETS = "with b as (select p_brand, list(distinct p_size) filter (p_size % 2 = 0) x, list(distinct p_size) filter (p_size % 3 = 0) y from part group by 1) select p_brand, array_to_string(list_sort({}), ',') elems from b"
+
+
+def _sizes(spark, sf) -> DataFrame:
+    return read(spark, sf, "part").groupBy("p_brand").agg(F.expr("collect_set(p_size) filter (where p_size % 2 = 0)").alias("x"), F.expr("collect_set(p_size) filter (where p_size % 3 = 0)").alias("y"))
+
+
+def _elems(spark, sf, f) -> DataFrame:
+    return _sizes(spark, sf).select("p_brand", F.array_join(f(F.col("x"), F.col("y")), ",").alias("elems"))
+
+
+@query(SETS.format("list_distinct(list_concat(x, y))"))
+def finite_union(spark, sf):
+    return _elems(spark, sf, A.finite_union)
+
+
+@query(SETS.format("list_intersect(x, y)"))
+def finite_intersection(spark, sf):
+    return _elems(spark, sf, A.finite_intersection)
+
+
+@query(SETS.format("list_filter(x, lambda e: not list_contains(y, e))"))
+def finite_difference(spark, sf):
+    return _elems(spark, sf, A.finite_difference)
+
+
+@query("with b as (select p_brand, list(distinct p_size) filter (p_size % 6 = 0) x, list(distinct p_size) filter (p_size % 3 = 0) y from part group by 1) select p_brand, len(list_filter(x, lambda e: not list_contains(y, e))) = 0 inside from b")
+def finite_subset(spark, sf):
+    s = read(spark, sf, "part").groupBy("p_brand").agg(F.expr("collect_set(p_size) filter (where p_size % 6 = 0)").alias("x"), F.expr("collect_set(p_size) filter (where p_size % 3 = 0)").alias("y"))
+    return s.select("p_brand", A.finite_subset(F.col("x"), F.col("y")).alias("inside"))
+
+
+def _ivals(spark, sf) -> DataFrame:
+    o = read(spark, sf, "orders").select("o_custkey", F.struct((F.col("o_orderkey") - 100).alias("lo"), (F.col("o_orderkey") + 100).alias("hi")).alias("i"))
+    return o.groupBy("o_custkey").agg(F.collect_list("i").alias("ivals"))
+
+
+IVALS = "with i as (select o_custkey, o_orderkey - 100 lo, o_orderkey + 100 hi from orders), m as (select *, max(hi) over (partition by o_custkey order by lo, hi rows between unbounded preceding and 1 preceding) before from i), g as (select *, sum(case when before is null or lo > before + 1 then 1 else 0 end) over (partition by o_custkey order by lo, hi rows unbounded preceding) part from m), s as (select o_custkey, part, min(lo) lo, max(hi) hi from g group by all) "
+
+
+@query(IVALS + "select o_custkey, string_agg(lo||'..'||hi, ',' order by lo) ivals from s group by 1")
+def int_normalise(spark, sf):
+    return _ivals(spark, sf).select("o_custkey", A.text(A.int_normalise(F.col("ivals"))).alias("ivals"))
+
+
+@query(IVALS + "select o_custkey, coalesce(string_agg(greatest(lo, 1000)||'..'||least(hi, 20000), ',' order by lo) filter (hi >= 1000 and lo <= 20000), '') ivals from s group by 1")
+def int_intersection(spark, sf):
+    cut = F.array(F.struct(F.lit(1000).cast("long").alias("lo"), F.lit(20000).cast("long").alias("hi")))
+    return _ivals(spark, sf).select("o_custkey", A.text(A.int_intersection(F.col("ivals"), cut)).alias("ivals"))
+
+
+@query(IVALS + ", d as (select o_custkey, lo, least(hi, 999) hi from s where lo <= 999 union all select o_custkey, greatest(lo, 20001), hi from s where hi >= 20001) select c.o_custkey, coalesce(string_agg(lo||'..'||hi, ',' order by lo) filter (lo is not null), '') ivals from (select distinct o_custkey from orders) c left join d on c.o_custkey = d.o_custkey group by 1")
+def int_difference(spark, sf):
+    cut = F.array(F.struct(F.lit(1000).cast("long").alias("lo"), F.lit(20000).cast("long").alias("hi")))
+    return _ivals(spark, sf).select("o_custkey", A.text(A.int_difference(F.col("ivals"), cut)).alias("ivals"))
+
+
+@query("select o_custkey, bool_or(5000 between o_orderkey - 100 and o_orderkey + 100) inside from orders group by 1")
+def int_contains(spark, sf):
+    return _ivals(spark, sf).select("o_custkey", A.int_contains(F.col("ivals"), F.lit(5000).cast("long")).alias("inside"))
+
+
+@query("select p_partkey from part where regexp_full_match(p_type, '(STANDARD|SMALL) .*')")
+def regex_member(spark, sf):
+    return read(spark, sf, "part").filter(F.col("p_type").rlike(r"^(?:(STANDARD|SMALL) .*)$")).select("p_partkey")
+
+
+@query("select 'n:'||n_nationkey node_id, 'name' key, n_name value from nation union all select 'n:'||n_nationkey, 'area', case when n_regionkey = 1 then 'west' else 'east' end from nation")
+def add_attrs(spark, sf):
+    rows = read(spark, sf, "nation").select(node("n", "n_nationkey").alias("node_id"), F.lit("area").alias("key"), F.when(F.col("n_regionkey") == 1, "west").otherwise("east").alias("value"))
+    return tpch_graph(spark, sf, ("nation",)).add_node_attrs(rows).node_attrs
+
+
+@query("select 'n:'||n_nationkey node_id, 'name' key, n_name value from nation where n_nationkey % 2 = 1")
+def remove_attrs(spark, sf):
+    rows = read(spark, sf, "nation").filter("n_nationkey % 2 = 0").select(node("n", "n_nationkey").alias("node_id"), F.lit("name").alias("key"), F.col("n_name").alias("value"))
+    return tpch_graph(spark, sf, ("nation",)).remove_node_attrs(rows).node_attrs
+
+
+@query("select 'n:'||n_nationkey node_id, 'name' key, case when n_nationkey < 3 then 'x' else n_name end value from nation")
+def set_attrs(spark, sf):
+    rows = spark.range(3).select(node("n", "id").alias("node_id"), F.lit("name").alias("key"), F.lit("x").alias("value"))
+    return tpch_graph(spark, sf, ("nation",)).set_node_attrs(rows).node_attrs
+
+
+@query(f"select src, dst from ({E['nr']}) union all select 'x:1', 'r:0' union all select 'x:1', 'r:1'")
+def add_nodes_edges(spark, sf):
+    g = tpch_graph(spark, sf, ("region", "nation")).add_nodes(frame(spark, [("x:1",)], "node_id string"))
+    return g.add_edges(frame(spark, [("x:1", "r:0"), ("x:1", "r:1"), ("x:1", "no:1")], "src string, dst string")).edges
+
+
+@query(f"select src, dst from ({GEO_E}) where 'n:3' not in (src, dst)")
+def remove_node_cascade(spark, sf):
+    return tpch_graph(spark, sf, GEO).remove_nodes(frame(spark, [("n:3",)], "node_id string")).edges
+
+
+@query(f"with e as ({GEO_E}) select src, dst from e union all select 'n:3#2', dst from e where src = 'n:3' union all select src, 'n:3#2' from e where dst = 'n:3'")
+def clone_node(spark, sf):
+    return tpch_graph(spark, sf, GEO).rename(frame(spark, [("n:3", "n:3"), ("n:3", "n:3#2")], "old string, new string")).edges
+
+
+@query(f"select case src when 'n:3' then 'n:x' else src end src, case dst when 'n:3' then 'n:x' else dst end dst from ({GEO_E})")
+def relabel_nodes(spark, sf):
+    return tpch_graph(spark, sf, GEO).rename(frame(spark, [("n:3", "n:x")], "old string, new string")).edges
+
+
+@query("select 'n:'||n_nationkey node_id from nation where n_regionkey = 1")
+def predecessors(spark, sf):
+    return tpch_graph(spark, sf, ("region", "nation")).predecessors("r:1")
+
+
+@query("select 'n:'||c_nationkey node_id from customer where c_custkey = 1")
+def successors(spark, sf):
+    return tpch_graph(spark, sf, ("nation", "customer")).successors("c:1")
+
+
+@query("select 'n:'||n_nationkey node_id from nation where n_regionkey = 2 union all select 'c:'||c_custkey from customer join nation on c_nationkey = n_nationkey where n_regionkey = 2 union all select 's:'||s_suppkey from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 2")
+def ancestors(spark, sf):
+    return _checkpointed(spark, tpch_graph(spark, sf, GEO)).ancestors(frame(spark, [("r:2",)], "node_id string"))
+
+
+@query("select 'n:'||c_nationkey node_id from customer where c_custkey in (1, 2) union select 'r:'||n_regionkey from customer join nation on c_nationkey = n_nationkey where c_custkey in (1, 2)")
+def descendants(spark, sf):
+    return _checkpointed(spark, tpch_graph(spark, sf, GEO)).descendants(frame(spark, [("c:1",), ("c:2",)], "node_id string"))
+
+
+def _checkpointed(spark, g: Graph) -> Graph:
+    """Rounds cut lineage in the shared folder; one is set only where none is."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graftline-"))
+    return g
+
+
+RULE = Rule(l_nodes=("n", "m"), p_l={"n1": "n", "n2": "n"}, p_r={"n1": "a", "n2": "b"}, r_nodes=("a", "b", "x"), removed_edges=(("n2", "n2"),), added_edges=(("a", "x"), ("x", "b")), added_attrs=(("x", "name", "NEW"),), name="t")
+REWRITTEN = f"with e as (select * from ({GEO_E}) where 'n:4' not in (src, dst)) select src, dst from e union all select 'n:3#n2', dst from e where src = 'n:3' union all select src, 'n:3#n2' from e where dst = 'n:3' union all select 'n:3', 'new:t:x' union all select 'new:t:x', 'n:3#n2'"
+
+
+@query(REWRITTEN)
+def rewrite_full(spark, sf):
+    """Clones nation 3, removes nation 4, adds a node between the clones."""
+    return rewrite(tpch_graph(spark, sf, GEO), RULE, {"n": "n:3", "m": "n:4"})[0].edges
+
+
+@query(f"select src, dst from ({GEO_E}) where 'n:4' not in (src, dst)")
+def rewrite_restrictive(spark, sf):
+    return rewrite(tpch_graph(spark, sf, GEO), Rule(("n",), {}, {}, ()), {"n": "n:4"})[0].edges
+
+
+@query(f"select distinct case src when 'n:4' then 'n:3' else src end src, case dst when 'n:4' then 'n:3' else dst end dst from ({GEO_E})")
+def rewrite_expansive(spark, sf):
+    return rewrite(tpch_graph(spark, sf, GEO), Rule(("a", "b"), {"a": "a", "b": "b"}, {"a": "m", "b": "m"}, ("m",)), {"a": "n:3", "b": "n:4"})[0].edges
+
+
+def _typed(spark, sf) -> Typed:
+    g = tpch_graph(spark, sf, GEO)
+    schema = g.with_(nodes=spark.createDataFrame([(x,) for x in "rncs"], "node_id string"), edges=spark.createDataFrame([("n", "r"), ("c", "n"), ("s", "n")], "src string, dst string"), node_attrs=g.node_attrs.limit(0), edge_attrs=g.edge_attrs)
+    return Typed(g, schema, _typing(g))
+
+
+@query(f"select id node_id, substr(id, 1, 1) as type from ({N['r']} union all {N['n']} union all {N['c']})")
+def propagate_remove(spark, sf):
+    return _typed(spark, sf).remove_type(frame(spark, [("s",)], "node_id string")).typing
+
+
+@query(f"select id node_id, substr(id, 1, 1) as type from ({N['r']} union all {N['n']} union all {N['s']}) union all select id||'#'||k, k from ({N['c']}), (values ('c1'), ('c2')) v(k)")
+def propagate_clone(spark, sf):
+    return _typed(spark, sf).clone_type("c", ["c1", "c2"]).typing
+
+
+@query(f"select id node_id, substr(id, 1, 1) as type from ({N['r']} union all {N['n']} union all {N['s']}) union all select 'c:'||c_custkey, case c_mktsegment when 'BUILDING' then 'c1' else 'c2' end from customer")
+def propagate_clone_controlled(spark, sf):
+    control = read(spark, sf, "customer").select(node("c", "c_custkey").alias("node_id"), F.when(F.col("c_mktsegment") == "BUILDING", "c1").otherwise("c2").alias("type"))
+    return _typed(spark, sf).clone_type("c", ["c1", "c2"], control).typing
+
+
+@query("select * from (values ('n', 'r'), ('c', 'n')) v(src, dst)")
+def propagate_merge(spark, sf):
+    return _typed(spark, sf).merge_data(frame(spark, [("c:1", "c:1"), ("s:1", "c:1")], "old string, new string")).schema.edges
+
+
+@query("select 'c:'||c_custkey src, 's:'||s_suppkey dst from customer join supplier on c_custkey = s_suppkey")
+def schema_check_insert(spark, sf):
+    c, s = read(spark, sf, "customer"), read(spark, sf, "supplier")
+    wrong = c.join(s, c.c_custkey == s.s_suppkey).select(node("c", "c_custkey").alias("src"), node("s", "s_suppkey").alias("dst"))
+    right = c.select(node("c", "c_custkey").alias("src"), node("n", "c_nationkey").alias("dst"))
+    return _typed(spark, sf).rejected_edges(wrong.unionByName(right))
+
+
