@@ -211,7 +211,7 @@ def degree_after_merge(spark, sf):
     return g.edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("degree"))
 
 
-SETS = "with b as (select p_brand, list(distinct p_size) filter (p_size % 2 = 0) x, list(distinct p_size) filter (p_size % 3 = 0) y from part group by 1) select p_brand, array_to_string(list_sort({}), ',') elems from b"
+SETS = "with b as (select p_brand, coalesce(list(distinct p_size) filter (p_size % 2 = 0), []) x, coalesce(list(distinct p_size) filter (p_size % 3 = 0), []) y from part group by 1) select p_brand, array_to_string(list_sort({}), ',') elems from b"
 
 
 def _sizes(spark, sf) -> DataFrame:
@@ -237,7 +237,7 @@ def finite_difference(spark, sf):
     return _elems(spark, sf, A.finite_difference)
 
 
-@query("with b as (select p_brand, list(distinct p_size) filter (p_size % 6 = 0) x, list(distinct p_size) filter (p_size % 3 = 0) y from part group by 1) select p_brand, len(list_filter(x, lambda e: not list_contains(y, e))) = 0 inside from b")
+@query("with b as (select p_brand, coalesce(list(distinct p_size) filter (p_size % 6 = 0), []) x, coalesce(list(distinct p_size) filter (p_size % 3 = 0), []) y from part group by 1) select p_brand, len(list_filter(x, lambda e: not list_contains(y, e))) = 0 inside from b")
 def finite_subset(spark, sf):
     s = read(spark, sf, "part").groupBy("p_brand").agg(F.expr("collect_set(p_size) filter (where p_size % 6 = 0)").alias("x"), F.expr("collect_set(p_size) filter (where p_size % 3 = 0)").alias("y"))
     return s.select("p_brand", A.finite_subset(F.col("x"), F.col("y")).alias("inside"))
