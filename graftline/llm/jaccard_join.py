@@ -243,6 +243,16 @@ def _near_counters(bands: Bands):
     return (den * F.least(n, o) >= num * F.greatest(n, o)) & ((den + num) * diff <= (den - num) * (n + o))
 
 
+#: Rounds in which the members of a key that are in other components than its pivot, drawn by hash, are compared with it.
+PIVOTS = 3
+
+
+def _plausible(pairs: DataFrame, sizes: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs that sizes and sketches allow to be similar; no similar pair is dropped."""
+    p, q = sizes.alias("p"), sizes.alias("q")
+    return pairs.join(p, F.col("a") == F.col("p.id")).join(q, (F.col("b") == F.col("q.id")) & _near_counters(bands)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5) -> DataFrame:
     """docs (doc_id, text) -> one row for each row: doc_id, n_shingles, component_id.
 
@@ -254,7 +264,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5)
     Equal sets are one node from the start (a 64-bit digest, with a second one to tell accidents), so copies cost nothing. Signatures are
     reduced by key to the least and the greatest node, map-side first: no task gathers a key's documents. Only signatures of keys that
     several nodes share are made again, and each node is compared with its key's least node. In keys whose nodes are then in several
-    components, with the greatest; then, across components only, pair by pair if sizes and sketches allow similarity: these bounds are
+    components, with pivots of other components, PIVOTS times; then, across components only, pair by pair if sizes and sketches allow similarity: these bounds are
     tried inside the join and never drop a similar pair. A large group of near copies so costs about as many pairs as it has documents."""
     spark = docs.sparkSession
     bands = Bands(num, den)
@@ -265,13 +275,18 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5)
     members = store(_signed(docs, width, bands, bits).distinct().join(shared, "key"), "members")
     bits.destroy()
     discard(shared)
-    first = store(members.filter("id != lo").select(*_pairs("id", "lo")).distinct(), "pairs")
+    sizes = store(sets.select("id", "n_shingles", "c0", "c1", "c2", "c3").distinct(), "sizes")
+    tried = first = store(_plausible(members.filter("id != lo").select(*_pairs("id", "lo")).distinct(), sizes, bands), "pairs")
     links = _verified(first, docs, sets, width, bands)
-    apart = store(_apart(members, links), "apart")
-    second = store(apart.filter("id != hi").select(*_pairs("id", "hi")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    links = store(links.unionByName(_verified(second, docs, sets, width, bands)), "links")
-    tried = first.unionByName(second)
-    sizes = sets.select("id", "n_shingles", "c0", "c1", "c2", "c3").distinct()
+    for turn in range(PIVOTS):
+        apart = store(_apart(members, links), "apart")
+        if apart.isEmpty():
+            break
+        pivots = apart.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pivot"), F.min_by("component", F.xxhash64("id", F.lit(turn))).alias("own"))
+        new = apart.join(pivots, "key").filter("component != own").select(*_pairs("id", "pivot")).distinct()
+        new = store(_plausible(new.join(tried, ["a", "b"], "left_anti"), sizes, bands), "pairs")
+        links = store(links.unionByName(_verified(new, docs, sets, width, bands)), "links")
+        tried = tried.unionByName(new)
     rest = store(_apart(members, links).select("key", "id", "component").join(sizes, "id"), "apart")
     p, q = rest.alias("p"), rest.alias("q")
     cross = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _near_counters(bands)
