@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graftline.llm.common import read, words
+from graftline.llm.common import read, store, words
 
 #: Buckets of hashed n-grams; what is gathered and carried in the plan has so many numbers, whatever the corpus.
 BUCKETS = 32_768
@@ -150,5 +150,6 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go."""
-    return judge(docs, fit(docs, read(spark, sf_dir, "labels"))).filter("kept").select(*docs.columns)
+    """Pipeline stage: rejected documents go. The verdicts are written first: a filter pushed through the projections would work hashes out again for each word."""
+    judged = judge(docs, fit(docs, read(spark, sf_dir, "labels")))
+    return store(judged, "judged").filter("kept").select(*docs.columns)
