@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from graftline.llm.common import read, store, words
 BUCKETS = 32_768
 #: At most so many trusted documents (least hash of doc_id first) and so many labelled as bad fit the target and the threshold; corpus counts have no bound.
 TRUSTED, BAD = 20_000, 5_000
+#: The threshold comes from trusted documents scored by ratios fitted without their fold.
+FOLDS = 4
 #: Smoothing: a bucket's prior count, spread as in the raw corpus.
 PRIOR = 0.05
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -32,9 +35,10 @@ def shifted(xs: Column, by: int) -> Column:
     return F.slice(xs, F.lit(by + 1), F.greatest(F.size(xs) - by, F.lit(0)))
 
 
-def gram_ratios(h: Column, table: Column, buckets: int) -> Column:
-    """For each word the summed ratios of its own bucket and of its bigram's (the last word's is with the text's end)."""
-    return F.zip_with(h, shifted(h, 1), lambda a, b: F.get(table, F.pmod(a, F.lit(buckets)).cast("int")) + F.get(table, F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
+def gram_ratios(h: Column, table: Column, buckets: int, start: Column | None = None) -> Column:
+    """For each word the summed ratios of its own bucket and of its bigram's (the last word's is with the text's end); start: where the ratios begin in the table."""
+    at = lambda x: F.pmod(x, F.lit(buckets)).cast("int") if start is None else F.pmod(x, F.lit(buckets)).cast("int") + start
+    return F.zip_with(h, shifted(h, 1), lambda a, b: F.get(table, at(a)) + F.get(table, at(F.xxhash64(a, b))))
 
 
 def gram_buckets(h: Column, buckets: int) -> Column:
@@ -82,9 +86,9 @@ def with_hashes(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumn("ws", words(text)).withColumn("h", F.transform("ws", lambda w: F.xxhash64(w)))
 
 
-def score(ratios: tuple[float, ...]) -> Column:
+def score(ratios: tuple[float, ...], buckets: int | None = None, start: Column | None = None) -> Column:
     """Mean log-likelihood ratio of a document's n-grams, over h; 0 without words."""
-    each = gram_ratios(F.col("h"), _table(ratios), len(ratios))
+    each = gram_ratios(F.col("h"), _table(ratios), buckets or len(ratios), start)
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.greatest(2 * F.size("h"), F.lit(1))
 
 
@@ -93,29 +97,38 @@ def _some(labels: DataFrame, good: int, most: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def log_ratios(raw: list[int], target: list[int]) -> tuple[float, ...]:
+    """Smoothed log ratio of target to raw frequency of each bucket."""
+    n, t, spread = sum(raw) + len(raw), sum(target), PRIOR * len(raw)
+    return tuple(math.log((y + spread * (x + 1) / n) / (t + spread)) - math.log((x + 1) / n) for x, y in zip(raw, target))
+
+
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, keep: float = 0.998) -> Model:
     """Target counts from trusted documents (labels.quality 1), raw counts from every document.
 
     The threshold lies a third of the way from the score that a share `keep` of the trusted documents reaches to the middle score
-    of the documents labelled as bad, and never above the former; without bad ones, the former less 1. Without trusted ones it keeps all."""
-    import math
-
+    of the documents labelled as bad, and never above the former; without bad ones, the former less 1. Without trusted ones it keeps all.
+    Trusted documents are dealt into FOLDS by their text's hash, and each is scored by ratios without its own fold's counts: on the
+    ratios it helped to fit, a document scores higher than a new one of the same kind, which is what the threshold must pass."""
     good, bad = _some(labels, 1, TRUSTED).withColumn("side", F.lit(1)), _some(labels, 0, BAD).withColumn("side", F.lit(0))
     sides = F.broadcast(good.unionByName(bad).groupBy("doc_id").agg(F.min("side").alias("side")))  # at most TRUSTED + BAD rows
-    marked = with_hashes(docs.select("doc_id", "text").join(sides, "doc_id", "left"), F.col("text"))
-    counts = marked.select(F.explode(gram_buckets(F.col("h"), buckets)).alias("b"), "side").groupBy("b").agg(F.count("*").alias("raw"), F.sum(F.expr("if(side = 1, 1, 0)")).alias("target")).collect()
-    raw, target = [0] * buckets, [0] * buckets
+    found = docs.select("doc_id", "text").join(sides, "doc_id", "left").withColumn("fold", F.when(F.col("side").isNotNull(), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")))
+    marked = with_hashes(found, F.col("text"))
+    in_fold = [F.sum(F.expr(f"if(side = 1 and fold = {f}, 1, 0)")).alias(f"target{f}") for f in range(FOLDS)]
+    counts = marked.select(F.explode(gram_buckets(F.col("h"), buckets)).alias("b"), "side", "fold").groupBy("b").agg(F.count("*").alias("raw"), *in_fold).collect()
+    raw, folds = [0] * buckets, [[0] * buckets for _ in range(FOLDS)]
     for x in counts:
-        raw[x.b], target[x.b] = x.raw, x.target
+        raw[x.b] = x.raw
+        for f in range(FOLDS):
+            folds[f][x.b] = x[f"target{f}"]
+    target = [sum(x) for x in zip(*folds)]
     if not sum(target):
         return Model((0.0,) * buckets, -math.inf)
-    n, t = sum(raw) + buckets, sum(target)
-    spread = PRIOR * buckets
-    ratios = tuple(math.log((target[i] + spread * (raw[i] + 1) / n) / (t + spread)) - math.log((raw[i] + 1) / n) for i in range(buckets))
-    seen = marked.filter("side is not null").select("side", score(ratios).alias("s"))
+    without = [log_ratios(raw, [t - x for t, x in zip(target, fold)]) for fold in folds]
+    seen = marked.filter("side is not null").select("side", score(sum(without, ()), buckets, F.col("fold") * buckets).alias("s"))
     got = {x.side: (x.low, x.mid) for x in seen.groupBy("side").agg(F.expr(f"percentile_approx(s, {1 - keep}, 10000)").alias("low"), F.expr("percentile_approx(s, 0.5, 10000)").alias("mid")).collect()}
     low = got[1][0]
-    return Model(ratios, min(low, low + (got[0][1] - low) / 3) if 0 in got else low - 1)
+    return Model(log_ratios(raw, target), min(low, low + (got[0][1] - low) / 3) if 0 in got else low - 1)
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
