@@ -56,3 +56,62 @@ def pushout(b: Graph, c: Graph, a_b: DataFrame, a_c: DataFrame) -> Graph:
 def image(g: Graph, mapping: DataFrame) -> Graph:
     """The image of g under a map."""
     return g.rename(mapping)
+
+
+def map_violations(g: Graph, to: Graph, mapping: DataFrame) -> DataFrame:
+    """(problem, at): nodes without one image, images that aren't there, edges and attribute values that images lack. No rows: a homomorphism."""
+    m = mapping.select("old", "new").distinct()
+    per = g.nodes.join(m, F.col("node_id") == F.col("old"), "left").groupBy("node_id").agg(F.count("new").alias("n")).filter("n != 1").select(F.lit("image").alias("problem"), F.col("node_id").alias("at"))
+    lost = m.join(to.nodes, F.col("new") == F.col("node_id"), "left_anti").select(F.lit("target").alias("problem"), F.col("old").alias("at"))
+    arrow = F.concat_ws("->", "src", "dst").alias("at")
+    edges = homomorphism_violations(g, to, m).select(F.lit("edge").alias("problem"), arrow)
+    attrs = attribute_violations(g, to, m).select(F.lit("attribute").alias("problem"), F.col("node_id").alias("at"))
+    values = g.edge_attrs.join(m.select(F.col("old").alias("src"), F.col("new").alias("s")), "src").join(m.select(F.col("old").alias("dst"), F.col("new").alias("d")), "dst")
+    more = values.join(to.edge_attrs.withColumnsRenamed({"src": "s", "dst": "d"}), ["s", "d", "key", "value"], "left_anti").select(F.lit("edge attribute").alias("problem"), arrow)
+    return per.unionByName(lost).unionByName(edges).unionByName(attrs).unionByName(more)
+
+
+def pullback_complement(a: Graph, b: Graph, d: Graph, a_b: DataFrame, b_d: DataFrame) -> tuple[Graph, DataFrame]:
+    """The final pullback complement of a -> b -> d, b -> d injective: d with nodes of b that a doesn't reach removed, those it reaches more than once
+    cloned, and b's edges and attributes that a lacks dropped. -> the graph, and (old, new) from it to d. The first of copies, by name, keeps d's id."""
+    over = a_b.withColumnsRenamed({"old": "a", "new": "b"}).join(b_d.withColumnsRenamed({"old": "b", "new": "d"}), "b").select("a", "d")
+    first = over.groupBy("d").agg(F.min("a").alias("first"))
+    fan = over.join(first, "d").select("a", F.col("d").alias("old"), F.when(F.col("a") == F.col("first"), F.col("d")).otherwise(F.concat("d", F.lit("#"), "a")).alias("new"))
+    gone = b_d.join(over, F.col("new") == F.col("d"), "left_anti").select(F.col("new").alias("node_id"))
+    c = d.remove_nodes(gone).rename(fan.select("old", "new"))
+    back = fan.select("new", "old", "a")
+    touched = b.edges.join(b_d.withColumnsRenamed({"old": "src", "new": "s"}), "src").join(b_d.withColumnsRenamed({"old": "dst", "new": "t"}), "dst").select("s", "t")
+    ends = lambda df, cols: df.join(back.withColumnsRenamed({"new": "src", "old": "s", "a": "sa"}), "src").join(back.withColumnsRenamed({"new": "dst", "old": "t", "a": "ta"}), "dst").select(*cols)
+    own = ends(c.edges, ["src", "dst", "s", "t", "sa", "ta"]).join(touched, ["s", "t"], "left_semi")
+    c = c.remove_edges(own.join(a.edges.select(F.col("src").alias("sa"), F.col("dst").alias("ta")), ["sa", "ta"], "left_anti").select("src", "dst"))
+    held = b.node_attrs.join(b_d.withColumnRenamed("old", "node_id"), "node_id").select(F.col("new").alias("old"), "key", "value")
+    lost = back.join(held, "old").join(a.node_attrs.withColumnRenamed("node_id", "a"), ["a", "key", "value"], "left_anti").select(F.col("new").alias("node_id"), "key", "value")
+    c = c.remove_node_attrs(lost)
+    all_of = c.nodes.join(back, F.col("node_id") == F.col("new"), "left").select(F.col("node_id").alias("old"), F.coalesce("old", "node_id").alias("new"))
+    return c, all_of
+
+
+def relation_to_span(left: Graph, right: Graph, relation: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(left, right) nodes, one for each related pair, and edges (src_left, src_right, dst_left, dst_right) that both graphs have."""
+    nodes = relation.select("left", "right").distinct()
+    at = lambda x: nodes.select(F.col("left").alias(f"{x}_left"), F.col("right").alias(f"{x}_right"))
+    one = left.edges.select(F.col("src").alias("src_left"), F.col("dst").alias("dst_left"))
+    two = right.edges.select(F.col("src").alias("src_right"), F.col("dst").alias("dst_right"))
+    return nodes, one.join(at("src"), "src_left").join(at("dst"), "dst_left").join(two, ["src_right", "dst_right"]).select("src_left", "src_right", "dst_left", "dst_right")
+
+
+def map_to_pullback(p_b: DataFrame, p_c: DataFrame, z_b: DataFrame, z_c: DataFrame) -> DataFrame:
+    """(old, new) from z to the pullback p: the node whose images in b and c are those of z's."""
+    legs = lambda x, y: x.withColumnRenamed("new", "b").join(y.withColumnRenamed("new", "c"), "old")
+    return legs(z_b, z_c).join(legs(p_b, p_c).withColumnRenamed("old", "new"), ["b", "c"]).select("old", "new")
+
+
+def map_from_pushout(b_p: DataFrame, c_p: DataFrame, b_z: DataFrame, c_z: DataFrame) -> DataFrame:
+    """(old, new) from the pushout p to z; a node of p for which b and c disagree comes out twice."""
+    via = lambda x, y: x.withColumnRenamed("new", "p").join(y, "old").select(F.col("p").alias("old"), "new")
+    return via(b_p, b_z).unionByName(via(c_p, c_z)).distinct()
+
+
+def left_relation(relation: DataFrame) -> DataFrame:
+    """(left, rights): related nodes of each left node, sorted."""
+    return relation.groupBy("left").agg(F.sort_array(F.collect_set("right")).alias("rights"))
