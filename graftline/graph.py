@@ -82,6 +82,13 @@ class Graph:
     def ancestors(self, start: DataFrame, most: int = 64) -> DataFrame:
         return self.reverse().descendants(start, most)
 
+    def disconnected_from(self, node: str, most: int = 64) -> DataFrame:
+        """Nodes that no path of edges, followed either way, links with the node."""
+        one = self.nodes.filter(F.col("node_id") == node)
+        both = self.edges.unionByName(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        near = self.with_(edges=both).descendants(one, most)
+        return self.nodes.join(near, "node_id", "left_anti").join(one, "node_id", "left_anti")
+
     # -- changes ---------------------------------------------------------------------------------------------------------
     def add_nodes(self, rows: DataFrame) -> Graph:
         return self.with_(nodes=self.nodes.unionByName(rows.select("node_id")).distinct())

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.functions import attribute_sets as A
+from graftline.functions import regular
 from graftline.graph import Graph
 from graftline.operators import category
+from graftline.operators.hierarchies import Hierarchy
 from graftline.operators.hierarchy import Typed
 from graftline.operators.pattern import Pattern, match
 from graftline.operators.rewrite import Rule, rewrite
+from graftline.operators.versioning import VersionedGraph
+from graftline.sources.exports import d3_rows
 from graftline.sources.tables import json_rows, node, read, tpch_graph
 
 QUERIES: dict = {}
@@ -401,3 +405,104 @@ def schema_check_insert(spark, sf):
     return _typed(spark, sf).rejected_edges(wrong.unionByName(right))
 
 
+
+
+# -- languages, spans, complements, levels, versions ------------------------------------------------------------------------
+
+
+@query("select p_partkey, p_type from part where regexp_full_match(p_type, '.*[A-M]+') and not regexp_full_match(p_type, 'S.*')")
+def regex_difference(spark, sf):
+    return read(spark, sf, "part").filter(regular.in_difference(F.col("p_type"), F.lit(".*[A-M]+"), F.lit("S.*"))).select("p_partkey", "p_type")
+
+
+@query("select distinct p_brand, regexp_full_match(p_brand, '\\w*#[13][0-9]*') inside from part")
+def regex_subset(spark, sf):
+    """A brand as a pattern of one word: is its language part of the other's?"""
+    brands = read(spark, sf, "part").select("p_brand").distinct()
+    return brands.select("p_brand", regular.pattern_subset(F.col("p_brand"), F.lit(r"\w*#[13][0-9]*")).alias("inside"))
+
+
+@query("select 'c:'||c_custkey src_left, 's:'||s_suppkey src_right, 'n:'||c_nationkey dst_left, 'n:'||s_nationkey dst_right from customer join supplier on c_custkey = s_suppkey and c_nationkey = s_nationkey")
+def relation_span_edges(spark, sf):
+    c, s, n = (read(spark, sf, x) for x in ("customer", "supplier", "nation"))
+    pairs = c.join(s, c.c_custkey == s.s_suppkey).select(node("c", "c_custkey").alias("left"), node("s", "s_suppkey").alias("right"))
+    same = n.select(node("n", "n_nationkey").alias("left"), node("n", "n_nationkey").alias("right"))
+    return category.relation_to_span(tpch_graph(spark, sf, ("nation", "customer")), tpch_graph(spark, sf, ("nation", "supplier")), pairs.unionByName(same))[1]
+
+
+@query(f"with e as (select * from ({GEO_E}) where 'n:4' not in (src, dst)) select src, dst from e union all select 'n:3#u2', dst from e where src = 'n:3' union all select src, 'n:3#u2' from e where dst = 'n:3'")
+def pullback_complement(spark, sf):
+    """Nation 3 comes from two nodes, nation 4 from none."""
+    g = tpch_graph(spark, sf, GEO)
+    part = lambda nodes: Graph(frame(spark, [(n,) for n in nodes], "node_id string"), frame(spark, [], "src string, dst string"), frame(spark, [], "node_id string, key string, value string"), frame(spark, [], "src string, dst string, key string, value string"))
+    a_b, b_d = frame(spark, [("u1", "x"), ("u2", "x")], "old string, new string"), frame(spark, [("x", "n:3"), ("y", "n:4")], "old string, new string")
+    return category.pullback_complement(part(["u1", "u2"]), part(["x", "y"]), g, a_b, b_d)[0].edges
+
+
+@query("select 'edge' problem, 'n:'||n_nationkey||'->r:'||n_regionkey as at from nation")
+def map_violations(spark, sf):
+    """The typing with regions taken for nations: edges between the two have no image."""
+    t = _typed(spark, sf)
+    m = t.typing.select(F.col("node_id").alias("old"), F.when(F.col("type") == "r", "n").otherwise(F.col("type")).alias("new"))
+    bare = t.data.with_(node_attrs=t.data.node_attrs.limit(0))
+    return category.map_violations(bare, t.schema, m)
+
+
+def _levels(spark, sf) -> Hierarchy:
+    """Data, their types, and one type of types."""
+    t = _typed(spark, sf)
+    top = Graph(frame(spark, [("x",)], "node_id string"), frame(spark, [("x", "x")], "src string, dst string"), t.schema.node_attrs, t.schema.edge_attrs)
+    h = Hierarchy({"low": t.data, "mid": t.schema, "top": top}, attrs={"low": {}, "mid": {}, "top": {}})
+    h.add_typing("low", "mid", t.typing.select(F.col("node_id").alias("old"), F.col("type").alias("new")), check=False)
+    h.add_typing("mid", "top", frame(spark, [(x, "x") for x in "rncs"], "old string, new string"), check=False)
+    return h
+
+
+@query(f"select id node_id, substr(id, 1, 1) as type from ({GEO_N}) union all select id||'#q', substr(id, 1, 1)||'#q' from ({GEO_N})")
+def propagate_clone_two_levels(spark, sf):
+    """Cloning the type of types clones types and data, and typings follow."""
+    h = _levels(spark, sf)
+    h.rewrite("top", Rule(("l",), {"p": "l", "q": "l"}, {"p": "p", "q": "q"}, ("p", "q")), {"l": "x"})
+    return h.get_typing("low", "mid").select(F.col("old").alias("node_id"), F.col("new").alias("type"))
+
+
+@query(f"select id node_id, 'x' as type from ({GEO_N})")
+def typing_compose(spark, sf):
+    return _levels(spark, sf).get_typing("low", "top").select(F.col("old").alias("node_id"), F.col("new").alias("type"))
+
+
+@query("select 'r:'||r_regionkey node_id from region where r_regionkey <> 1 union all select 'n:'||n_nationkey from nation where n_regionkey <> 1")
+def disconnected_nodes(spark, sf):
+    return _checkpointed(spark, tpch_graph(spark, sf, ("region", "nation"))).disconnected_from("r:1")
+
+
+@query(f"select src, dst from ({GEO_E})")
+def version_rollback(spark, sf):
+    """A rewrite is committed and taken back."""
+    v = VersionedGraph(tpch_graph(spark, sf, GEO))
+    first = v.heads[v.current]
+    v.rewrite(RULE, {"n": "n:3", "m": "n:4"})
+    v.rollback(first)
+    return v.graph.edges
+
+
+@query(f"{REWRITTEN} union all select 'c:1', 'n:3#n2' from customer where c_custkey = 1 and c_nationkey <> 3")
+def version_merge(spark, sf):
+    """One branch rewrites, the other adds an edge; both are in the merge."""
+    v = VersionedGraph(tpch_graph(spark, sf, GEO))
+    v.branch("other")
+    v.rewrite(RULE, {"n": "n:3", "m": "n:4"})
+    rewritten = v.heads["other"]
+    v.branch("more")
+    v.graph = v.graph.add_edges(frame(spark, [("c:1", "n:3#n2")], "src string, dst string"))
+    v.commit("an edge")
+    v.switch_branch("master")
+    v.merge_with("more")
+    assert rewritten in v.commits
+    return v.graph.edges
+
+
+@query(f"select 'link' kind, src source, dst target from ({GEO_E})")
+def d3_links(spark, sf):
+    rows = d3_rows(tpch_graph(spark, sf, GEO)).filter("kind = 'link'")
+    return rows.select("kind", F.from_json("doc", "source string, target string").alias("x")).select("kind", "x.source", "x.target")
