@@ -219,9 +219,16 @@ def _mixed_ids(chosen: DataFrame) -> DataFrame:
     return chosen.select("id").mapInPandas(work, "key long")
 
 
-def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, id, component) of the keys whose members are still in several components."""
-    classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
+def _classes(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(id, component), stored: what links (a, b) join, with the classes before them as stars, so that only new links take rounds."""
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if before is not None:
+        edges = edges.unionByName(before.select(F.col("id").alias("u"), F.col("component").alias("v")))
+    return store(components(edges).withColumnRenamed("node", "id"), "classes")
+
+
+def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members with their component, of the keys whose members are still in several components."""
     placed = members.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
     return placed.join(several, "key")
@@ -277,22 +284,27 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5)
     discard(shared)
     sizes = store(sets.select("id", "n_shingles", "c0", "c1", "c2", "c3").distinct(), "sizes")
     tried = first = store(_plausible(members.filter("id != lo").select(*_pairs("id", "lo")).distinct(), sizes, bands), "pairs")
-    links = _verified(first, docs, sets, width, bands)
+    classes = _classes(_verified(first, docs, sets, width, bands))
+    apart = store(_apart(members.select("key", "id"), classes), "apart")
     for turn in range(PIVOTS):
-        apart = store(_apart(members, links), "apart")
         if apart.isEmpty():
             break
         pivots = apart.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pivot"), F.min_by("component", F.xxhash64("id", F.lit(turn))).alias("own"))
         new = apart.join(pivots, "key").filter("component != own").select(*_pairs("id", "pivot")).distinct()
         new = store(_plausible(new.join(tried, ["a", "b"], "left_anti"), sizes, bands), "pairs")
-        links = store(links.unionByName(_verified(new, docs, sets, width, bands)), "links")
         tried = tried.unionByName(new)
-    rest = store(_apart(members, links).select("key", "id", "component").join(sizes, "id"), "apart")
-    p, q = rest.alias("p"), rest.alias("q")
-    cross = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _near_counters(bands)
-    third = store(p.join(q, cross).select(*_pairs("p.id", "q.id")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = store(links.unionByName(_verified(third, docs, sets, width, bands)), "links")
-    classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
+        links = new if new.isEmpty() else _verified(new, docs, sets, width, bands)
+        if not links.isEmpty():  # components only grow together, so keys once settled stay so
+            classes = _classes(links, classes)
+            apart = store(_apart(apart.drop("component"), classes), "apart")
+    if not apart.isEmpty():
+        rest = store(apart.select("key", "id", "component").join(sizes, "id"), "rest")
+        p, q = rest.alias("p"), rest.alias("q")
+        cross = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _near_counters(bands)
+        last = store(p.join(q, cross).select(*_pairs("p.id", "q.id")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = last if last.isEmpty() else _verified(last, docs, sets, width, bands)
+        if not links.isEmpty():
+            classes = _classes(links, classes)
     placed = sets.select("doc_id", "n_shingles", "id").join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     linked = placed.filter("n_shingles > 0")
     names = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
