@@ -125,6 +125,24 @@ def test_line_dedup(spark):
     assert got[3] == ("", 1, 1) and got[4] == (None, 0, 0) and got[5] == ("", 1, 0) and got[None][2] == 0
 
 
+def test_short_lines(spark, tmp_path):
+    from graftline.llm import line_dedup
+
+    rights, other = "All rights reserved.", "a first line that no other is like"
+    rows = [(1, f"{rights}\n\n}}\n{other}\nxy"), (2, f"{rights}\n}}\n\n{other[::-1]}\nzw"), (3, "All rights reserved!\n12345\n\n"), (4, " }\n12345678")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: rows[0][1], 2: f"\n{other[::-1]}\nzw", 3: "12345\n\n", 4: "12345678"}
+    assert {r.doc_id: r.text for r in line_dedup.op6_lines(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.stage(spark, df, "").collect()} == want
+    # every pair of short lines by brute force
+    own = sorted({"".join(R.choice("abc") for _ in range(R.randint(3, 8))) for _ in range(60)})
+    name = spark.createDataFrame([(x,) for x in own], "line string").withColumn("k1", F.xxhash64("line"))
+    by = {r.k1: r.line for r in name.collect()}
+    pairs = {(a, b) for i, a in enumerate(own) for b in own[i + 1 :] if lev(a, b) <= 2}
+    assert {tuple(sorted((by[r.a], by[r.b]))) for r in line_dedup.near_pairs(name, 2).collect()} == pairs
+
+
 def test_language_model(docs):
     import numpy as np
 
