@@ -16,6 +16,7 @@ from graftline.llm.hashing import group_texts, mix, run_hashes, window_hashes, w
 #: A repeated line goes if it has so many words; a run of repeated paragraphs goes if it has so many.
 LINE_WORDS, RUN_WORDS = 5, 20
 #: A paragraph begins at a word pair whose hash is the least of those within so many words on either side: paragraphs have more words than that, and the same passage is cut alike wherever it stands.
+#: Where a word or a short cycle repeats, equal least hashes follow each other: the first of them begins a paragraph, and then each first one that is more than so many words after the last begin.
 REACH = 4
 
 UNITS = "uid long, doc_id long, kind int, seq int, start long, end long, n_words int, key long, check long"
@@ -29,9 +30,22 @@ def _begins(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     least = np.ones(len(pair), bool)
     for k in range(1, REACH + 1):
         other = doc[k:] != doc[:-k]
-        least[k:] &= other | (pair[k:] < pair[:-k])
-        least[:-k] &= other | (pair[:-k] < pair[k:])
-    return least
+        least[k:] &= other | (pair[k:] <= pair[:-k])
+        least[:-k] &= other | (pair[:-k] <= pair[k:])
+    at = np.flatnonzero(least)
+    if not len(at):
+        return least
+    tied = (np.diff(at) <= REACH) & (doc[at[1:]] == doc[at[:-1]])  # with the one before; their hashes are equal
+    firsts = np.flatnonzero(np.append(True, ~tied))
+    ends = np.append(firsts[1:], len(at))
+    after = np.searchsorted(at, at + REACH + 1)
+    begins = np.zeros(len(pair), bool)
+    begins[at[firsts]] = True
+    many = ends - firsts > 1
+    for i, end in zip(firsts[many].tolist(), ends[many].tolist(), strict=True):
+        while (i := int(after[i])) < end:
+            begins[at[i]] = True
+    return begins
 
 
 def units(docs: DataFrame, bits=None) -> DataFrame:
@@ -84,7 +98,8 @@ def removals(docs: DataFrame) -> DataFrame:
     bits.destroy()
     discard(twice)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "start")
-    first = some.groupBy("key", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # stored, so that the join isn't tied to the aggregate's shuffle and a digest with very many places can be dealt over tasks
+    first = store(some.groupBy("key", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     later = some.join(first, ["key", "check"]).filter((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
     later = store(later.select("uid", "doc_id", "kind", "seq", "start", "end", "n_words"), "later")
     lines = later.filter("kind = 0").select("uid", "doc_id", "start", "end", F.col("n_words").cast("long").alias("n_words"))

@@ -270,6 +270,25 @@ def test_repeats(spark):
     assert all(body[r.start : r.end] in passage for r in got) and sum(r.end - r.start for r in got) > len(passage) / 2
 
 
+def test_repeats_in_cycles(spark):
+    from graftline.llm.repeats import find_repeats
+
+    cycles = ["la", "tick tock", "one two three", "a b c d", "na na na hey"]
+    parts = {i: ((c + " ") * 130).split()[:120] for i, c in enumerate(cycles)}
+    around = lambda: [f"u{R.randrange(10**9)}" for _ in range(R.randint(11, 19))]
+    rows = []
+    for i, run in parts.items():
+        before, after = around(), around()
+        rows += [(10 + i, " ".join(before + run + after), len(before), len(after)), (20 + i, " ".join((x := around()) + run[: 90 + i] + (y := around())), len(x), len(y))]
+    got = find_repeats(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    for doc, body, n_before, n_after in rows:
+        held = [w for r in got if r.doc_id == doc for w in body[r.start : r.end].split()]
+        own = body.split()
+        assert set(held) <= set(own[n_before : len(own) - n_after])  # no word from around the run
+        if doc >= 20:
+            assert len(held) >= len(own) - n_before - n_after - 24
+
+
 def test_pii(spark):
     from graftline.llm import pii
 
