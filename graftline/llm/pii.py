@@ -27,7 +27,7 @@ CANDIDATES = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[\[(]\x20?at\x20?[\])]\x20?)[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]{1,63}+){1,5}+",
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{13,19}+(?![0-9])",
-    "phone": r"(?<![0-9])\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+[0-9]{0,3}[\x20.-]?|[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
 }
 
 
@@ -94,29 +94,57 @@ class Feature(NamedTuple):
     levels: int
 
 
-#: Format and context of a candidate, each cut into a few levels: their product bounds the table that is fitted.
-FEATURES = (Feature("kind", 4), Feature("digits", 6), Feature("seps", 3), Feature("luhn", 2), Feature("sign", 3), Feature("before", 4), Feature("after", 4), Feature("word", 3))
+#: Format and context of a candidate, each cut into a few levels: their product bounds the table that is fitted. What decides a base match, the check sum,
+#: '+' and '@', is none of them, so that forms without it are scored as those with it.
+FEATURES = (Feature("kind", 4), Feature("digits", 8), Feature("seps", 3), Feature("before", 4), Feature("after", 4), Feature("word", 3))
 
 
 def _side(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"^\s$"), 1).when(c.rlike("^[A-Za-z0-9]$"), 2).otherwise(3)
 
 
-def features(text: Column, s: Column) -> list[Column]:
-    m, d = s["match"], digits(s["match"])
-    n, seps = F.length(d), F.length(F.regexp_replace(m, r"[^\x20().-]+", ""))
+def _plain(match: Column) -> Column:
+    """A match with `[at]` and `[dot]` written as @ and a full stop."""
+    return F.regexp_replace(F.regexp_replace(match, r"\x20?[\[(]\x20?at\x20?[\])]\x20?", "@"), r"\x20?[\[(]\x20?dot\x20?[\])]\x20?", ".")
+
+
+def _around(text: Column, s: Column) -> tuple[Column, Column, Column]:
+    """Levels of the characters before and after a candidate and of the word before it."""
     around = F.lower(F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(F.lit(24), s["start"])))
     before = F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")
-    after = F.substring(text, s["end"] + 1, F.lit(1))
+    word = F.when(around.rlike(r"(?:e-?mail|phone|tel|call|card|visa|ip|address)\W*$"), 2).when(around.rlike(r"(?:version|id|isbn|order|number|no)\W*$"), 1).otherwise(0)
+    return _side(before), _side(F.substring(text, s["end"] + 1, F.lit(1))), word
+
+
+def evidence(text: Column, base: Column, s: Column) -> Column:
+    """1, 0 or null (not known) for a candidate, by what its base form isn't needed for. Only others than 0 can be found.
+
+    card: 13 to 19 digits, with a right check sum, beside no letter. ip: parts of up to 255. email: the base's, or else null if the last part of the host
+    is letters. phone: the base's; 0 inside another kind's base span, beside a letter, or as digits without separators after no word for a phone; else null."""
+    m = s["match"]
+    before, after, word = _around(text, s)
+    free = (before != 2) & (after != 2)
+    confirmed = F.exists(base, lambda b: (b["kind"] == s["kind"]) & (b["start"] == s["start"]) & (b["end"] == s["end"]))
+    other = F.exists(base, lambda b: (b["kind"] != s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    card = F.length(digits(m)).between(13, 19) & luhn(digits(m)) & free
+    phone = valid("phone", m) & free & ~other & (m.rlike(r"[\x20().-]") | (word == 2))
+    return (
+        F.when(confirmed, 1)
+        .when(s["kind"] == "card", card.cast("int"))
+        .when(s["kind"] == "ip", valid("ip", m).cast("int"))
+        .when(s["kind"] == "email", F.when(_plain(m).rlike(r"\.[A-Za-z]{2,}$"), F.lit(None).cast("int")).otherwise(0))
+        .otherwise(F.when(phone, F.lit(None).cast("int")).otherwise(0))
+    )
+
+
+def features(text: Column, s: Column) -> list[Column]:
+    m = _plain(s["match"])
+    n, seps = F.length(digits(m)), F.length(F.regexp_replace(m, r"[^\x20().-]+", ""))
     return [
         sum((F.when(s["kind"] == k, i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0)),
-        F.when(n == 0, 0).when(n < 8, 1).when(n < 13, 2).when(n < 16, 3).when(n == 16, 4).otherwise(5),
+        F.when(n == 0, 0).when(n < 8, 1).when(n < 13, 2).when(n <= 16, n - 10).otherwise(7),
         F.least(seps, F.lit(2)),
-        luhn(d).cast("int"),
-        F.when(m.startswith("+"), 1).when(m.contains("@"), 2).otherwise(0),
-        _side(before),
-        _side(after),
-        F.when(around.rlike(r"(?:e-?mail|phone|tel|call|card|visa|ip|address)\W*$"), 2).when(around.rlike(r"(?:version|id|isbn|order|number|no)\W*$"), 1).otherwise(0),
+        *_around(text, s),
     ]
 
 
@@ -219,14 +247,15 @@ def _proposed(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Boosted trees that tell candidates as the base confirms from others, by format and context, over every candidate of every document.
+    """Boosted trees that tell candidates with evidence for them from those with evidence against them, by format and context, over every such candidate of every
+    document. Candidates of which neither is known, as those in forms that the base can't match, are scored by the trees and not fitted.
 
     Counts of confirmed and other candidates by cell of levels are all that comes to the driver; the product of the levels bounds them. A fifth of the documents (by
     hash) is held out to set the thresholds."""
     rows = _proposed(docs.select(F.xxhash64("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))).select("doc", "text", "base", F.explode("candidates").alias("s"))
-    yes = F.exists("base", lambda b: (b["kind"] == F.col("s.kind")) & (b["start"] == F.col("s.start")) & (b["end"] == F.col("s.end"))).cast("int")
+    yes = evidence(F.col("text"), F.col("base"), F.col("s"))
     names = [f.name for f in FEATURES]
-    levels = rows.select(*[x.cast("int").alias(n) for x, n in zip(features(F.col("text"), F.col("s")), names, strict=True)], yes.alias("yes"), (F.pmod("doc", F.lit(5)) == 0).alias("out"))
+    levels = rows.select(*[x.cast("int").alias(n) for x, n in zip(features(F.col("text"), F.col("s")), names, strict=True)], yes.alias("yes"), (F.pmod("doc", F.lit(5)) == 0).alias("out")).filter("yes is not null")
     when = lambda side, x: F.sum(F.when(F.col("out") == side, x).otherwise(0))
     got = levels.groupBy(*names).agg(when(False, F.col("yes")).alias("a"), when(False, F.lit(1)).alias("b"), when(True, F.col("yes")).alias("c"), when(True, F.lit(1)).alias("d")).collect()
     return boost(sorted((tuple(x[n] for n in names), x.a, x.b, x.c, x.d) for x in got))
@@ -235,7 +264,7 @@ def fit(docs: DataFrame) -> Model:
 def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds to every row base and found: arrays of (kind, start, end, match), places in characters, ends exclusive; columns of these names are replaced.
 
-    found holds the base's spans and the candidates that the trees choose and that overlap neither a base span nor a better candidate of their kind
+    found holds the base's spans and the candidates that the trees choose, that have no evidence against them, and that overlap neither a base span nor a better candidate of their kind
     (a higher score, then the earlier, then the longer). By kind, then start. Null and empty texts have none. Rows are worked on one by one, without a shuffle."""
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -243,7 +272,7 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     meet = lambda a, b: (a["kind"] == b["kind"]) & (a["start"] < b["end"]) & (b["start"] < a["end"])
     scored = F.transform("candidates", lambda s: F.struct(log_odds(features(F.col("text"), s), model).alias("score"), s.alias("s")))
     reach = lambda k: sum((F.when(k == name, F.lit(t)).otherwise(0.0) for name, t in zip(KINDS, model.thresholds, strict=True) if math.isfinite(t)), F.when(k.isin([n for n, t in zip(KINDS, model.thresholds, strict=True) if math.isfinite(t)] or [""]), 0.0).otherwise(math.inf))
-    chosen = F.filter(scored, lambda x: (x["score"] >= reach(x["s"]["kind"])) & ~F.exists("base", lambda b: meet(b, x["s"])))
+    chosen = F.filter(scored, lambda x: (x["score"] >= reach(x["s"]["kind"])) & ~F.exists("base", lambda b: meet(b, x["s"])) & (F.coalesce(evidence(F.col("text"), F.col("base"), x["s"]), F.lit(1)) == 1))
     ranked = F.transform(F.array_sort(F.transform(chosen, lambda x: F.struct((-x["score"]).alias("a"), x["s"]["start"].alias("b"), (-x["s"]["end"]).alias("c"), x["s"].alias("s")))), lambda x: x["s"])
     none = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
     apart = F.aggregate(ranked, none, lambda acc, s: F.when(F.exists(acc, lambda b: meet(b, s)), acc).otherwise(F.concat(acc, F.array(s))))

@@ -296,3 +296,27 @@ def test_pii(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: [(s.kind, s.match) for s in r.base] for r in pii.find(df, pii.fit(df)).collect()}
     assert got == {1: [("email", "a.b@c.de"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (743) 555-3824")], 2: [], 3: [], 4: [], 5: []}
+
+
+def test_pii_beyond_the_base(spark):
+    from graftline.llm import pii
+
+    def card(n):
+        body = "3" + "".join(R.choice("0123456789") for _ in range(n - 2))
+        total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(body))))
+        return body + str(-total % 10)
+
+    word = lambda: "".join(R.choice("bcdfg") for _ in range(6))
+    local = lambda: f"({R.randrange(200, 999)}) 555-{R.randrange(1000, 9999)}"
+    wrong = lambda x: x[:-1] + str((int(x[-1]) + 1) % 10)
+    rows, want = [], {}
+    for i in range(300):
+        new = [("phone", local()), ("email", f"{word()} [at] {word()}.de"), ("card", card(15))] if i % 20 == 0 else []
+        no = ["1.2.3.999", wrong(card(15)), f"{word()}7435553824{word()}", "7435553824"] if i % 50 == 1 else []
+        plain = [f"+1 {local()}", f"{word()}@{word()}.com", "10.1.2.3", card(16)]
+        rows.append((i, " zz ".join([word(), *plain, *[m for _, m in new], *no, word()])))
+        want[i] = sorted(new)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.find(df, pii.fit(df)).collect()
+    assert all(len(r.base) == 4 for r in got)
+    assert {r.doc_id: sorted((s.kind, s.match) for s in r.found if s not in r.base) for r in got} == want
