@@ -20,8 +20,8 @@ STATES = 8
 KNOWN = 131_072
 #: Words with at least a 1/OWN of them are symbols of their own; the others share CLASSES symbols by hash.
 OWN, CLASSES = 16_384, 512
-#: Starting point: so many documents at most (those of least hash of doc_id), so many rounds over them; then rounds over all training documents.
-START_DOCS, START_ROUNDS, ROUNDS = 2_000, 12, 3
+#: Rounds of Baum-Welch, each over all training documents.
+ROUNDS = 15
 #: Tokens of a training window; windows cover every token. Scoring doesn't cut: longer texts are scored by products of window matrices.
 WINDOW = 256
 END = b""  # the end token is no word, so nothing else has these bytes
@@ -185,27 +185,23 @@ def maximise(counts: np.ndarray, frequency: np.ndarray) -> Chain:
     return Chain(rest[0] / rest[0].sum(), rest[1] / rest[1].sum(), rest[2:] / rest[2:].sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _start(sample: list[np.ndarray], symbols: int, frequency: np.ndarray, states: int) -> Chain:
-    """Random emissions around the frequencies, moved by rounds over a bounded sample."""
+def _start(symbols: int, frequency: np.ndarray, states: int) -> Chain:
+    """Random emissions around the frequencies."""
     rng = np.random.default_rng(7)
     noise = rng.gamma(1.0, 1.0, (symbols, states)) + 0.2
     emit = noise * frequency[:, None]
     move = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    chain = Chain(np.full(states, 1 / states), np.full(states, 1 / states), move, emit / emit.sum(0))
-    for _ in range(START_ROUNDS if sample else 0):
-        chain = maximise(_expected(sample, chain, symbols), frequency)
-    return chain
+    return Chain(np.full(states, 1 / states), np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
 def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Chain:
-    """Baum-Welch: a start from a bounded sample, then rounds in which expected counts of every training document are added up
-    across partitions. A round's counts come to the driver as a row for each symbol: their number is bounded."""
+    """Baum-Welch: a start from seeded noise around the frequencies, then rounds in which expected counts of every token of every training
+    document are added up across partitions. A round's counts come to the driver as a row for each symbol: their number is bounded."""
     spark = encoded.sparkSession
     symbols = len(frequency)
     training = encoded.filter("not held_out")
-    sample = training.orderBy(F.xxhash64("doc_id"), "doc_id", "uid").select("symbols").limit(START_DOCS).collect()
-    chain = _start([np.frombuffer(x.symbols, "<u2")[: 8 * WINDOW].astype(np.int64) for x in sample], symbols, frequency, states)
+    chain = _start(symbols, frequency, states)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(chain)
 

@@ -161,6 +161,22 @@ def test_language_model(docs):
     assert np.allclose(lm.likelihoods(seqs, chain), [lm.likelihood(s, chain) for s in seqs])
 
 
+def test_training_reads_all_in_every_round(spark):
+    import numpy as np
+
+    from graftline.llm import language_model as lm
+
+    rng = np.random.default_rng(5)
+    frequency = np.full(12, 1 / 12)
+    seqs = [rng.integers(0, 6, 2_100) if i % 700 else np.concatenate([rng.integers(0, 6, 2_100), np.arange(2_000) % 2 + 10]) for i in range(40)] + [np.arange(30) % 3 + 6 + i % 2 for i in range(2_400)]
+    rows = [(i, i, False, x.astype("<u2").tobytes()) for i, x in enumerate(seqs)] + [(-1, -1, True, np.full(500, 11, "<u2").tobytes())]
+    chain = lm._start(12, frequency, 3)
+    for _ in range(4):
+        chain = lm.maximise(lm._expected(seqs, chain, 12), frequency)
+    got = lm.train(spark.createDataFrame(rows, "doc_id long, uid long, held_out boolean, symbols binary"), frequency, 3, 4)
+    assert all(np.allclose(a, b) for a, b in zip(got, chain, strict=True))
+
+
 def test_expected_counts_by_enumeration():
     import itertools
 
