@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,24 +66,29 @@ class Graph:
     def predecessors(self, node: str) -> DataFrame:
         return self.edges.filter(F.col("dst") == node).select(F.col("src").alias("node_id"))
 
-    def descendants(self, start: DataFrame, most: int = 64) -> DataFrame:
-        """Nodes reachable from start (node_id) by one edge or more; semi-naive rounds, each joined with new nodes only."""
+    def descendants(self, start: DataFrame, most: int | None = None) -> DataFrame:
+        """Nodes reachable from start (node_id) by one edge or more; semi-naive rounds, each joined with new nodes only, until there are none.
+
+        With `most`, an error if nodes are still new after so many rounds."""
         found = front = start.select("node_id").join(self.edges, F.col("node_id") == F.col("src")).select(F.col("dst").alias("node_id")).distinct()
-        for _ in range(most):
+        for i in count():
             front = front.join(self.edges, F.col("node_id") == F.col("src")).select(F.col("dst").alias("node_id")).distinct().join(found, "node_id", "left_anti").checkpoint()
             if front.isEmpty():
-                break
+                return found
+            if most is not None and i + 1 >= most:
+                raise ValueError(f"nodes are still new after {most} rounds")
             found = found.unionByName(front)
-        return found
+            if i % 16 == 15:  # so that plans don't grow with the rounds
+                found = found.checkpoint()
 
     def reverse(self) -> Graph:
         turned = [F.col("dst").alias("src"), F.col("src").alias("dst")]
         return self.with_(edges=self.edges.select(*turned), edge_attrs=self.edge_attrs.select(*turned, "key", "value"))
 
-    def ancestors(self, start: DataFrame, most: int = 64) -> DataFrame:
+    def ancestors(self, start: DataFrame, most: int | None = None) -> DataFrame:
         return self.reverse().descendants(start, most)
 
-    def disconnected_from(self, node: str, most: int = 64) -> DataFrame:
+    def disconnected_from(self, node: str, most: int | None = None) -> DataFrame:
         """Nodes that no path of edges, followed either way, links with the node."""
         one = self.nodes.filter(F.col("node_id") == node)
         both = self.edges.unionByName(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
