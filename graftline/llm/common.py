@@ -27,20 +27,34 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a temporary one in local mode; elsewhere executors couldn't see that, so it's an error."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="graftline-")
         spark.sparkContext.setCheckpointDir(held)
         atexit.register(shutil.rmtree, held[len("file://") :], True)
     return held
 
 
+#: With it Spark removes a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: its rows stay as they are, whatever executor is lost."""
+    """Writes df as a table in the shared folder and reads it back: its rows stay as they are, whatever executor is lost. Shuffle files go when it's written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    held = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if held is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, held)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
