@@ -20,19 +20,21 @@ STATES = 8
 KNOWN = 131_072
 #: Words with at least a 1/OWN of them are symbols of their own; the others share CLASSES symbols by hash.
 OWN, CLASSES = 16_384, 512
-#: Rounds of Baum-Welch, each over all training documents.
-ROUNDS = 15
-#: Tokens of a training window; windows cover every token. Scoring doesn't cut: longer texts are scored by products of window matrices.
-WINDOW = 256
+#: Rounds of Baum-Welch, each over all training documents, whole texts. Later rounds gain little (README).
+ROUNDS = 5
+#: Tokens whose probabilities a task holds at once; a longer text goes alone.
+AT_ONCE = 1_000_000
 END = b""  # the end token is no word, so nothing else has these bytes
 #: Added to expected counts, in shares of the symbols' own frequency.
 PRIOR = 2.0
 
 
 class Words(NamedTuple):
-    """known: word -> (symbol, count); symbols from `own` on are classes. tokens, distinct: of the training tokens."""
+    """known: word -> its place in symbols and counts; symbols from `own` on are classes. tokens, distinct: of the training tokens."""
 
-    known: dict[bytes, tuple[int, int]]
+    known: dict[bytes, int]
+    symbols: np.ndarray
+    counts: np.ndarray
     own: int
     tokens: int
     distinct: int
@@ -40,7 +42,6 @@ class Words(NamedTuple):
 
 class Chain(NamedTuple):
     first: np.ndarray  # states of a text's first token
-    later: np.ndarray  # states of a later window's first token, for training
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
@@ -50,11 +51,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def symbol(word: bytes, words: Words) -> int:
-    got = words.known.get(word)
-    return got[0] if got else words.own + zlib.crc32(word) % CLASSES
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n) over the training documents: counted in each task, then over all of them."""
 
@@ -75,13 +71,10 @@ def vocabulary(counts: DataFrame) -> Words:
     """The frequent words, of which there are KNOWN at most however large the corpus, and the totals."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     rows = counts.filter((F.col("n") * KNOWN >= tokens) | (F.col("word") == F.lit(END))).orderBy(F.desc("n"), "word").collect()
-    own = [bytes(x.word) for x in rows if x.n * OWN >= tokens or bytes(x.word) == END]
-    at = {w: i for i, w in enumerate(own)}
-    known = {}
-    for x in rows:
-        w = bytes(x.word)
-        known[w] = (at[w] if w in at else len(own) + zlib.crc32(w) % CLASSES, x.n)
-    return Words(known, len(own), tokens, distinct)
+    own = {w: i for i, w in enumerate(bytes(x.word) for x in rows if x.n * OWN >= tokens or bytes(x.word) == END)}
+    known = {bytes(x.word): i for i, x in enumerate(rows)}
+    symbols = [own[w] if w in own else len(own) + zlib.crc32(w) % CLASSES for w in known]
+    return Words(known, np.array(symbols, np.int64), np.array([x.n for x in rows], np.int64), len(own), tokens, distinct)
 
 
 def encode(docs: DataFrame, words) -> DataFrame:
@@ -89,18 +82,23 @@ def encode(docs: DataFrame, words) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w: Words = words.value
-        known, own = w.known, w.own
+        get, own, logs = w.known.get, w.own, np.log10(w.counts + 1.0)
+        # of frequent words that share a class, the word's count is needed as well as the class
+        shared_logs = np.where(w.symbols >= own, logs, 0.0)
         for b in batches:
             rows = []
             for uid, doc_id, held, text in zip(b["uid"], b["doc_id"], b["held_out"], b["text"], strict=True):
                 toks = tokens_of(text)
-                rare: Counter[bytes] = Counter(t for t in toks if t not in known)
-                code = {t: own + zlib.crc32(t) % CLASSES for t in rare}
-                symbols = np.array([known[t][0] if t in known else code[t] for t in toks], "<u2")
-                seen = [known[t][1] for t in toks if t in known]
-                # of frequent words that share a class, the word's count is needed as well as the class
-                shared = [known[t] for t in toks if t in known and known[t][0] >= own]
-                rows.append((uid, doc_id, held, len(toks), len(seen), float(np.log10(np.array(seen, float) + 1).sum()), symbols.tobytes(), float(np.log10(np.array([c for _, c in shared], float) + 1).sum()), list(rare.keys()), list(rare.values())))
+                at = np.array([get(t, -1) for t in toks])
+                symbols = w.symbols[at]
+                rare: Counter[bytes] = Counter()
+                if (new := np.flatnonzero(at < 0)).size:
+                    others = [toks[i] for i in new]
+                    rare = Counter(others)
+                    code = {t: own + zlib.crc32(t) % CLASSES for t in rare}
+                    symbols[new] = [code[t] for t in others]
+                    at = at[at >= 0]
+                rows.append((uid, doc_id, held, len(toks), len(at), float(logs[at].sum()), symbols.astype("<u2").tobytes(), float(shared_logs[at].sum()), list(rare.keys()), list(rare.values())))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in ENCODED.split(", ")]).astype({"doc_id": "Int64"})
 
     return docs.mapInPandas(work, ENCODED)
@@ -109,70 +107,62 @@ def encode(docs: DataFrame, words) -> DataFrame:
 ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, n_frequent long, log_frequent double, symbols binary, log_shared double, rare array<binary>, rare_n array<long>"
 
 
-def _lanes(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences, longest first, as columns of a padded table with a row for each place; and their lengths."""
+def _groups(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Places of the sequences, longest first, in groups of about AT_ONCE tokens."""
+    n = np.array([len(s) for s in sequences], np.int64)
+    order = np.argsort(-n, kind="stable")
+    before = np.cumsum(n[order]) - n[order]
+    cuts = np.flatnonzero(np.diff(before // AT_ONCE)) + 1
+    yield from (x for x in np.split(order, cuts) if len(x))
+
+
+def _packed(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sequences, longest first: their symbols place by place, without padding; how many sequences reach each place; and where its symbols start."""
     n = np.array([len(s) for s in sequences])
-    table = np.zeros((n.max(), len(n)), np.int64)
+    live = np.searchsorted(-n, -np.arange(n.max()), side="left")
+    start = np.cumsum(live) - live
+    flat = np.empty(n.sum(), np.int64)
     for i, s in enumerate(sequences):
-        table[: len(s), i] = s
-    return table, n
-
-
-def _active(n: np.ndarray) -> np.ndarray:
-    """For each place the number of sequences (longest first) that reach it."""
-    return np.searchsorted(-n, -np.arange(n.max()), side="left")
-
-
-def expect(sequences: list[np.ndarray], begins: np.ndarray, chain: Chain, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Scaled forward and backward passes over windows (longest first) -> expected counts: first states, later ones, moves, symbols by state; log-likelihood."""
-    table, n = _lanes(sequences)
-    k, live = len(chain.first), _active(n)
-    alpha = np.zeros((*table.shape, k))
-    scale = np.ones(table.shape)
-    a = np.where(begins[:, None], chain.first, chain.later)
-    for t in range(len(table)):
-        m = live[t]
-        a = (a if t == 0 else a[:m] @ chain.move) * chain.emit[table[t, :m]]
-        scale[t, :m] = a.sum(1)
-        a = a / scale[t, :m, None]
-        alpha[t, :m] = a
-    moves = np.zeros((k, k))
-    beta = np.ones((table.shape[1], k))
-    gamma = alpha  # each row turns from forward to posterior as the backward pass goes by
-    for t in range(len(table) - 1, -1, -1):
-        m = live[t]
-        if t + 1 < len(table) and live[t + 1]:
-            l = live[t + 1]
-            ahead = chain.emit[table[t + 1, :l]] * beta[:l] / scale[t + 1, :l, None]
-            moves += alpha[t, :l].T @ ahead
-            beta[:l] = ahead @ chain.move.T
-        gamma[t, :m] = alpha[t, :m] * beta[:m]
+        flat[start[: len(s)] + i] = s
+    return flat, live, start
+
+
+def expect(sequences: list[np.ndarray], chain: Chain, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Scaled forward and backward passes over whole sequences (longest first) -> expected counts: first states, moves, symbols by state; log-likelihood."""
+    flat, live, start = _packed(sequences)
+    k, bounds = len(chain.first), list(zip(start.tolist(), (start + live).tolist(), strict=True))
+    emit = chain.emit[flat]
+    alpha, scale = np.empty_like(emit), np.empty((len(flat), 1))
+    a = chain.first
+    for t, (lo, hi) in enumerate(bounds):
+        a = (a[: hi - lo] @ chain.move if t else a) * emit[lo:hi]
+        c = a.sum(1, keepdims=True)
+        a /= c
+        scale[lo:hi], alpha[lo:hi] = c, a
+    moves, beta, back = np.zeros((k, k)), np.ones((live[0], k)), np.ascontiguousarray(chain.move.T)
+    for t in range(len(bounds) - 1, 0, -1):
+        lo, hi = bounds[t]
+        ahead = emit[lo:hi] * beta[: hi - lo]
+        ahead /= scale[lo:hi]
+        alpha[lo:hi] *= beta[: hi - lo]  # each row turns from forward to posterior as the backward pass goes by
+        before = bounds[t - 1][0]
+        moves += alpha[before : before + hi - lo].T @ ahead
+        beta[: hi - lo] = ahead @ back
+    alpha[: live[0]] *= beta
     moves *= chain.move
-    held = np.arange(len(table))[:, None] < n[None, :]
-    flat, weight = table[held], gamma[held]
-    emitted = np.stack([np.bincount(flat, weight[:, s], symbols) for s in range(k)], 1)
-    return gamma[0][begins].sum(0), gamma[0][~begins].sum(0), moves, emitted, float(np.log(scale[held]).sum())
-
-
-def _windows(all_symbols: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Windows of the sequences in groups, longest first, with a flag for a sequence's first one."""
-    got = [(s[i : i + WINDOW], i == 0) for s in all_symbols for i in range(0, len(s), WINDOW)]
-    got.sort(key=lambda x: -len(x[0]))
-    for i in range(0, len(got), 512):
-        part = got[i : i + 512]
-        yield [x for x, _ in part], np.array([b for _, b in part])
+    emitted = np.stack([np.bincount(flat, alpha[:, s], symbols) for s in range(k)], 1)
+    return alpha[: live[0]].sum(0), moves, emitted, float(np.log(scale).sum())
 
 
 def _expected(all_symbols: list[np.ndarray], chain: Chain, symbols: int) -> np.ndarray:
-    """Expected counts as one table: a row for each symbol, then first, later, and a row for each state's moves."""
+    """Expected counts as one table: a row for each symbol, then first states, and a row for each state's moves."""
     k = len(chain.first)
-    out = np.zeros((symbols + 2 + k, k))
-    for part, begins in _windows(all_symbols):
-        first, later, moves, emitted, _ = expect(part, begins, chain, symbols)
+    out = np.zeros((symbols + 1 + k, k))
+    for places in _groups(all_symbols):
+        first, moves, emitted, _ = expect([all_symbols[i] for i in places], chain, symbols)
         out[:symbols] += emitted
         out[symbols] += first
-        out[symbols + 1] += later
-        out[symbols + 2 :] += moves
+        out[symbols + 1 :] += moves
     return out
 
 
@@ -182,7 +172,7 @@ def maximise(counts: np.ndarray, frequency: np.ndarray) -> Chain:
     symbols = len(frequency)
     emit = counts[:symbols] + PRIOR * symbols**0.5 * frequency[:, None]
     rest = counts[symbols:] + 0.1
-    return Chain(rest[0] / rest[0].sum(), rest[1] / rest[1].sum(), rest[2:] / rest[2:].sum(1, keepdims=True), emit / emit.sum(0))
+    return Chain(rest[0] / rest[0].sum(), rest[1:] / rest[1:].sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def _start(symbols: int, frequency: np.ndarray, states: int) -> Chain:
@@ -192,12 +182,12 @@ def _start(symbols: int, frequency: np.ndarray, states: int) -> Chain:
     emit = noise * frequency[:, None]
     move = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    return Chain(np.full(states, 1 / states), np.full(states, 1 / states), move, emit / emit.sum(0))
+    return Chain(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
 def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Chain:
     """Baum-Welch: a start from seeded noise around the frequencies, then rounds in which expected counts of every token of every training
-    document are added up across partitions. A round's counts come to the driver as a row for each symbol: their number is bounded."""
+    document, by forward and backward passes over whole texts, are added up across partitions. A round's counts come to the driver as a row for each symbol: their number is bounded."""
     spark = encoded.sparkSession
     symbols = len(frequency)
     training = encoded.filter("not held_out")
@@ -206,7 +196,7 @@ def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, round
         sent = spark.sparkContext.broadcast(chain)
 
         def work(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            total = np.zeros((symbols + 2 + states, states))
+            total = np.zeros((symbols + 1 + states, states))
             for b in batches:
                 total += _expected([np.frombuffer(x, "<u2").astype(np.int64) for x in b["symbols"]], sent.value, symbols)
             rows = np.flatnonzero(total.any(1))
@@ -214,7 +204,7 @@ def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, round
 
         schema = "row long, " + ", ".join(f"s{i} double" for i in range(states))
         got = training.select("symbols").mapInPandas(work, schema).groupBy("row").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(states)]).collect()
-        counts = np.zeros((symbols + 2 + states, states))
+        counts = np.zeros((symbols + 1 + states, states))
         for x in got:
             counts[x.row] = x[1:]
         chain = maximise(counts, frequency)
@@ -235,44 +225,17 @@ def likelihood(sequence: np.ndarray, chain: Chain) -> float:
 
 
 def likelihoods(sequences: list[np.ndarray], chain: Chain) -> np.ndarray:
-    """The same for many sequences at once.
-
-    Every sequence is cut into windows; a first window starts from the first states, a later one from each state in turn, so that it
-    gives a matrix; a sequence's windows are then multiplied together. That changes the order of the work, not the result."""
-    k = len(chain.first)
+    """The same for many sequences at once, whole ones side by side."""
     out = np.zeros(len(sequences))
-    lanes: list[tuple[int, int, int, np.ndarray]] = []  # sequence, window, start state or -1, symbols
-    length = 4 * WINDOW
-    for i, s in enumerate(sequences):
-        lanes.append((i, 0, -1, s[:length]))
-        for w in range(1, -(-len(s) // length)):
-            lanes += [(i, w, j, s[w * length : (w + 1) * length]) for j in range(k)]
-    lanes.sort(key=lambda x: -len(x[3]))
-    ends: dict[tuple[int, int, int], tuple[np.ndarray, float]] = {}
-    for at in range(0, len(lanes), 2048):
-        part = lanes[at : at + 2048]
-        table, n = _lanes([x[3] for x in part])
-        live = _active(n)
-        a = np.array([chain.first if j < 0 else chain.move[j] for _, _, j, _ in part])
-        logs = np.zeros(len(part))
-        for t in range(len(table)):
-            m = live[t]
-            now = (a[:m] if t == 0 else a[:m] @ chain.move) * chain.emit[table[t, :m]]
-            c = now.sum(1)
-            logs[:m] += np.log(c)
-            a[:m] = now / c[:, None]
-        for (i, w, j, _), row, log in zip(part, a, logs, strict=True):
-            ends[i, w, j] = (row, log)
-    for i, s in enumerate(sequences):
-        row, total = ends[i, 0, -1]
-        for w in range(1, -(-len(s) // length)):
-            logs = np.array([ends[i, w, j][1] for j in range(k)])
-            most = logs.max()
-            row = (row * np.exp(logs - most)) @ np.array([ends[i, w, j][0] for j in range(k)])
-            c = row.sum()
-            total += most + math.log(c)
-            row = row / c
-        out[i] = total
+    for places in _groups(sequences):
+        flat, live, start = _packed([sequences[i] for i in places])
+        a, logs = chain.first, np.zeros(len(places))
+        for t, (lo, n) in enumerate(zip(start.tolist(), live.tolist(), strict=True)):
+            a = (a[:n] @ chain.move if t else a) * chain.emit[flat[lo : lo + n]]
+            c = a.sum(1)
+            logs[:n] += np.log(c)
+            a /= c[:, None]
+        out[places] = logs
     return out
 
 
@@ -290,18 +253,17 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     counts = store(count_words(docs), "counts")
     words = vocabulary(counts)
     if END not in words.known:
-        words = Words({END: (0, 0)}, 1, words.tokens, words.distinct)
+        words = Words({END: 0}, np.zeros(1, np.int64), np.zeros(1, np.int64), 1, words.tokens, words.distinct)
     sent = spark.sparkContext.broadcast(words)
     encoded = store(encode(docs.withColumn("uid", F.monotonically_increasing_id()), sent), "encoded")
     own, symbols = words.own, words.own + CLASSES
     rank = lambda w: F.pmod(F.crc32(w), F.lit(CLASSES))
     frequent = np.zeros(symbols)
     shared_n, shared_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for s, c in words.known.values():
-        frequent[s] += c
-        if s >= own:
-            shared_n[s - own] += c
-            shared_v[s - own] += 1
+    np.add.at(frequent, words.symbols, words.counts)
+    in_class = words.symbols >= own
+    np.add.at(shared_n, words.symbols[in_class] - own, words.counts[in_class])
+    np.add.at(shared_v, words.symbols[in_class] - own, 1)
     rare_counts = counts.filter(F.col("n") * KNOWN < max(1, words.tokens)).filter(F.col("word") != F.lit(END))
     for x in rare_counts.groupBy(rank(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         shared_n[x.c] += x.n
@@ -315,12 +277,10 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain, room = model.value
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at : at + 1000]
-                seqs = [np.frombuffer(x, "<u2").astype(np.int64) for x in part["symbols"]]
-                paths = likelihoods(seqs, chain) / math.log(10)
-                left = np.array([room[s[s >= own] - own].sum() for s in seqs])
-                yield part[["uid", "doc_id", "held_out", "n_tokens", "n_frequent", "log_frequent"]].assign(doc_id=part["doc_id"].astype("Int64"), part=paths - left + part["log_shared"])
+            seqs = [np.frombuffer(x, "<u2").astype(np.int64) for x in b["symbols"]]
+            paths = likelihoods(seqs, chain) / math.log(10)
+            left = np.array([room[s[s >= own] - own].sum() for s in seqs])
+            yield b[["uid", "doc_id", "held_out", "n_tokens", "n_frequent", "log_frequent"]].assign(doc_id=b["doc_id"].astype("Int64"), part=paths - left + b["log_shared"])
 
     scored = encoded.drop("rare", "rare_n").mapInPandas(work, "uid long, doc_id long, held_out boolean, n_tokens long, n_frequent long, log_frequent double, part double")
     pairs = encoded.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("k"))
