@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOW, HIGH = -(2**62), 2**62
@@ -46,6 +46,29 @@ def int_normalise(ivals: Column) -> Column:
     return F.transform(F.aggregate(clean, none, step_), _opened)
 
 
+def normalised_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, lo, hi in rows, one interval each -> the same as sorted disjoint intervals, still one a row: for groups too large for an array. null is no bound."""
+    closed = rows.select(*keys, F.coalesce("lo", F.lit(LOW)).alias("lo"), F.coalesce("hi", F.lit(HIGH)).alias("hi")).filter("lo <= hi")
+    by = Window.partitionBy(*keys).orderBy("lo", "hi")
+    before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    parts = closed.withColumn("before", before).withColumn("part", F.sum(F.when(F.col("before").isNull() | (F.col("lo") > F.col("before") + 1), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy(*keys, "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(*keys, F.when(F.col("lo") > LOW, F.col("lo")).alias("lo"), F.when(F.col("hi") < HIGH, F.col("hi")).alias("hi"))
+
+
+def int_subset(a: Column, b: Column) -> Column:
+    """Each interval of a inside one of b; both normalised."""
+    one, two = F.transform(a, _closed), F.transform(b, _closed)
+    return F.forall(one, lambda x: F.exists(two, lambda y: (x["lo"] >= y["lo"]) & (x["hi"] <= y["hi"])))
+
+
+def int_is_empty(a: Column) -> Column:
+    return F.size(a) == 0
+
+
+def int_is_universal(a: Column) -> Column:
+    return (F.size(a) == 1) & F.get(a, F.lit(0))["lo"].isNull() & F.get(a, F.lit(0))["hi"].isNull()
+
+
 def int_union(a: Column, b: Column) -> Column:
     return int_normalise(F.concat(a, b))
 

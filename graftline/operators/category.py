@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftline.graph import Graph
+from graftline.operators.closure import classes
+
+
+class MapError(ValueError):
+    """A map that isn't there or isn't the only one."""
+
 
 # A map is (old, new): each old node once, for a homomorphism defined on all nodes.
 
@@ -14,6 +22,46 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.withColumnRenamed("new", "mid").join(second.withColumnRenamed("old", "mid"), "mid").select("old", "new")
 
 
+def compose_chain(maps: list[DataFrame]) -> DataFrame:
+    return reduce(compose, maps)
+
+
+def identity(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("node_id").alias("old"), F.col("node_id").alias("new"))
+
+
+def is_monic(mapping: DataFrame) -> bool:
+    """Whether no two nodes have one image."""
+    return mapping.groupBy("new").agg(F.countDistinct("old").alias("n")).filter("n > 1").isEmpty()
+
+
+def is_total(nodes: DataFrame, mapping: DataFrame) -> bool:
+    """Whether the map is defined on the nodes, all of them and no others."""
+    there = mapping.select(F.col("old").alias("node_id"))
+    return nodes.join(there, "node_id", "left_anti").isEmpty() and there.join(nodes, "node_id", "left_anti").isEmpty()
+
+
+def restrict(mapping: DataFrame, nodes: DataFrame) -> DataFrame:
+    return mapping.join(nodes.select(F.col("node_id").alias("old")), "old", "left_semi").select("old", "new")
+
+
+def union_maps(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Both; an error if they differ on a node."""
+    out = first.select("old", "new").unionByName(second.select("old", "new")).distinct()
+    bad = out.groupBy("old").agg(F.count("*").alias("n")).filter("n > 1").first()
+    if bad is not None:
+        raise MapError(f"the maps differ at {bad.old}")
+    return out
+
+
+def replace_source(mapping: DataFrame, old: str, new: str) -> DataFrame:
+    return mapping.withColumn("old", F.when(F.col("old") == old, new).otherwise(F.col("old")))
+
+
+def replace_target(mapping: DataFrame, old: str, new: str) -> DataFrame:
+    return mapping.withColumn("new", F.when(F.col("new") == old, new).otherwise(F.col("new")))
+
+
 def inverse_image(mapping: DataFrame, targets: DataFrame) -> DataFrame:
     return mapping.join(targets.select(F.col("node_id").alias("new")), "new", "left_semi").select(F.col("old").alias("node_id"))
 
@@ -43,19 +91,54 @@ def pullback(b: Graph, c: Graph, b_d: DataFrame, c_d: DataFrame) -> tuple[DataFr
     return nodes, left.join(right, ["s", "d"]).select("src_b", "src_c", "dst_b", "dst_c")
 
 
-def pushout(b: Graph, c: Graph, a_b: DataFrame, a_c: DataFrame) -> Graph:
-    """b and c glued along a, for maps of which a -> b is injective: c's nodes, and b's that a doesn't reach; ids of b are prefixed where they clash."""
-    glue = a_b.withColumnRenamed("new", "b").join(a_c.withColumnRenamed("new", "c"), "old").select(F.col("b").alias("old"), F.col("c").alias("new"))
-    taken = c.nodes.join(b.nodes, "node_id", "left_semi")
-    clash = taken.join(glue.select(F.col("old").alias("node_id")), "node_id", "left_anti").select(F.col("node_id").alias("old"), F.concat(F.lit("b:"), "node_id").alias("new"))
-    moved = b.rename(glue.unionByName(clash))
+def pullback_graph(b: Graph, c: Graph, b_d: DataFrame, c_d: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
+    """The pullback as a graph with ids `b|c`, and its maps (old, new) to b and c. Attributes are values that both sides have."""
+    nodes, edges = pullback(b, c, b_d, c_d)
+    pair = lambda x, y: F.concat_ws("|", x, y)
+    named = nodes.withColumn("node_id", pair("b", "c"))
+    attrs = named.join(b.node_attrs.withColumnRenamed("node_id", "b"), "b").join(c.node_attrs.withColumnRenamed("node_id", "c"), ["c", "key", "value"]).select("node_id", "key", "value")
+    left, right = b.edge_attrs.withColumnsRenamed({"src": "src_b", "dst": "dst_b"}), c.edge_attrs.withColumnsRenamed({"src": "src_c", "dst": "dst_c"})
+    ends = [pair("src_b", "src_c").alias("src"), pair("dst_b", "dst_c").alias("dst")]
+    values = edges.join(left, ["src_b", "dst_b"]).join(right, ["src_c", "dst_c", "key", "value"]).select(*ends, "key", "value")
+    to = lambda side: named.select(F.col("node_id").alias("old"), F.col(side).alias("new"))
+    return Graph(named.select("node_id"), edges.select(*ends), attrs, values), to("b"), to("c")
+
+
+def pushout_maps(b: Graph, c: Graph, a_b: DataFrame, a_c: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
+    """b and c glued along a, and the maps (old, new) of b and c into it. Nodes that a's maps link, through any number of steps, become one, named by the least of c's ids among
+    them; ids of b's other nodes are prefixed where they clash."""
+    side = lambda x, c: F.concat(F.lit(x), F.col(c))
+    glue = a_b.select("old", side("1", "new").alias("v")).join(a_c.select("old", side("0", "new").alias("u")), "old").select("u", "v")
+    of = classes(glue)
+    b_own = b.nodes.select("node_id", side("1", "node_id").alias("old")).join(of, "old", "left")
+    taken = c.nodes.select("node_id", F.lit(True).alias("taken"))
+    fresh = F.when(F.col("taken"), F.concat(F.lit("b:"), F.col("node_id"))).otherwise(F.col("node_id"))
+    b_p = b_own.join(taken, "node_id", "left").select(F.col("node_id").alias("old"), F.coalesce(F.expr("substr(new, 2)"), fresh).alias("new"))
+    c_p = c.nodes.select("node_id", side("0", "node_id").alias("old")).join(of, "old", "left").select(F.col("node_id").alias("old"), F.coalesce(F.expr("substr(new, 2)"), "node_id").alias("new"))
+    moved_b, moved_c = b.rename(b_p), c.rename(c_p)
     both = lambda x, y: x.unionByName(y).distinct()
-    return Graph(both(moved.nodes, c.nodes), both(moved.edges, c.edges), both(moved.node_attrs, c.node_attrs), both(moved.edge_attrs, c.edge_attrs))
+    return Graph(*[both(getattr(moved_b, t), getattr(moved_c, t)) for t in ("nodes", "edges", "node_attrs", "edge_attrs")]), b_p, c_p
+
+
+def pushout(b: Graph, c: Graph, a_b: DataFrame, a_c: DataFrame) -> Graph:
+    return pushout_maps(b, c, a_b, a_c)[0]
+
+
+def pushout_from_relation(left: Graph, right: Graph, relation: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
+    """left and right glued along related pairs (left, right), and their maps into it."""
+    pairs = relation.select("left", "right").distinct().withColumn("old", F.concat_ws("|", "left", "right"))
+    return pushout_maps(left, right, pairs.select("old", F.col("left").alias("new")), pairs.select("old", F.col("right").alias("new")))
 
 
 def image(g: Graph, mapping: DataFrame) -> Graph:
     """The image of g under a map."""
-    return g.rename(mapping)
+    return g.rename(mapping, closed=True)
+
+
+def image_maps(g: Graph, mapping: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
+    """The image, the map of g onto it and the image's inclusion."""
+    own = image(g, mapping)
+    return own, mapping.select("old", "new"), identity(own.nodes)
 
 
 def map_violations(g: Graph, to: Graph, mapping: DataFrame) -> DataFrame:
@@ -107,11 +190,32 @@ def map_to_pullback(p_b: DataFrame, p_c: DataFrame, z_b: DataFrame, z_c: DataFra
 
 
 def map_from_pushout(b_p: DataFrame, c_p: DataFrame, b_z: DataFrame, c_z: DataFrame) -> DataFrame:
-    """(old, new) from the pushout p to z; a node of p for which b and c disagree comes out twice."""
+    """(old, new) from the pushout p to z; an error where b and c disagree."""
     via = lambda x, y: x.withColumnRenamed("new", "p").join(y, "old").select(F.col("p").alias("old"), "new")
-    return via(b_p, b_z).unionByName(via(c_p, c_z)).distinct()
+    return union_maps(via(b_p, b_z), via(c_p, c_z))
+
+
+def map_to_pullback_complement(p_c: DataFrame, a_p: DataFrame, a_prime_a: DataFrame, a_prime_z: DataFrame, z_c: DataFrame) -> DataFrame:
+    """(old, new) from z to the pullback complement p: over z's image in c, and where that has several nodes of p, the one that a' -> a -> p names; an error if none or several are left."""
+    over = z_c.withColumnsRenamed({"old": "z", "new": "c"}).join(p_c.withColumnsRenamed({"old": "p", "new": "c"}), "c").select("z", "p")
+    told = a_prime_z.withColumnRenamed("new", "z").join(compose(a_prime_a, a_p).withColumnRenamed("new", "p"), "old").select("z", "p").distinct()
+    ruled = over.join(told, ["z", "p"], "left_semi").unionByName(over.join(told, "z", "left_anti"))
+    bad = z_c.join(ruled, F.col("old") == F.col("z"), "left").groupBy("old").agg(F.count("p").alias("n")).filter("n != 1").first()
+    if bad is not None:
+        raise MapError(f"{bad.old} has {bad.n} images")
+    return ruled.select(F.col("z").alias("old"), F.col("p").alias("new"))
 
 
 def left_relation(relation: DataFrame) -> DataFrame:
     """(left, rights): related nodes of each left node, sorted."""
     return relation.groupBy("left").agg(F.sort_array(F.collect_set("right")).alias("rights"))
+
+
+def right_relation(relation: DataFrame) -> DataFrame:
+    """(right, lefts)."""
+    return relation.groupBy("right").agg(F.sort_array(F.collect_set("left")).alias("lefts"))
+
+
+def relation_rows(lefts: DataFrame) -> DataFrame:
+    """(left, rights) -> (left, right), one row for each pair."""
+    return lefts.select("left", F.explode("rights").alias("right")).distinct()

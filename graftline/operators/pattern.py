@@ -12,12 +12,15 @@ from graftline.graph import Graph
 
 @dataclass(frozen=True)
 class Pattern:
-    """nodes: name -> attribute sets that a match must contain; edges: (source, target) -> the same; types: name -> a type of the typing."""
+    """nodes: name -> attribute sets that a match must contain; edges: (source, target) -> the same; types: name -> a type of the typing.
+
+    directed: False if every edge is matched either way; undirected: edges that are, where others aren't."""
 
     nodes: dict[str, dict[str, list[str]]]
     edges: dict[tuple[str, str], dict[str, list[str]]] = field(default_factory=dict)
     types: dict[str, str] = field(default_factory=dict)
     directed: bool = True
+    undirected: frozenset[tuple[str, str]] = frozenset()
 
 
 def _join_order(p: Pattern) -> list[tuple[str, str]]:
@@ -31,11 +34,29 @@ def _join_order(p: Pattern) -> list[tuple[str, str]]:
     return out
 
 
-def match(graph: Graph, p: Pattern, typing: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
+def _parts(p: Pattern) -> int:
+    """How many parts of the pattern no edge connects."""
+    top = {n: n for n in p.nodes}
+
+    def find(x: str) -> str:
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in p.edges:
+        top[find(a)] = find(b)
+    return len({find(n) for n in p.nodes})
+
+
+def match(graph: Graph, p: Pattern, typing: DataFrame | None = None, within: DataFrame | None = None, product: bool = False) -> DataFrame:
     """All injective matches, a column for each pattern node.
 
+    Parts of the pattern that no edge connects are matched each on its own, and every combination is a match: that must be asked for by `product`.
+
     Candidates of a node with attributes, a type, or a given node set are found first, so the joins start small; a pair of nodes of the same
-    kind is kept apart as soon as both are bound. Isolated pattern nodes are the one place where a product is what is asked for."""
+    kind is kept apart as soon as both are bound."""
+    if not product and _parts(p) > 1:
+        raise ValueError("the pattern isn't connected: its matches are a product of its parts' (product=True)")
 
     def candidates(name: str) -> DataFrame | None:
         out = None
@@ -61,7 +82,7 @@ def match(graph: Graph, p: Pattern, typing: DataFrame | None = None, within: Dat
     out: DataFrame | None = None
     for a, b in _join_order(p):
         e = graph.edges_with(p.edges[a, b]).select(F.col("src").alias(a), F.col("dst").alias(b)) if a != b else graph.edges_with(p.edges[a, b]).filter("src = dst").select(F.col("src").alias(a))
-        if not p.directed and a != b:
+        if (not p.directed or (a, b) in p.undirected) and a != b:
             e = e.unionByName(graph.edges_with(p.edges[a, b]).select(F.col("dst").alias(a), F.col("src").alias(b))).distinct()
         bound = [] if out is None else out.columns
         for n in dict.fromkeys((a, b)):

@@ -5,11 +5,12 @@ of one branch to the other: every step is a join on whole rows, whatever the siz
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.graph import Graph
@@ -81,6 +82,9 @@ class Versions:
         self.deltas: dict[tuple[str, str], Delta] = {}  # (parent, child)
         self.current = branch
         self.heads = {branch: self._add("initial commit", ())}
+        self._hold()
+
+    def _hold(self) -> None:
         self.held: State = {t: written(x, "state") for t, x in self.state().items()}
 
     def state(self) -> State:
@@ -186,11 +190,50 @@ class Versions:
         self.commits = {k: v for k, v in self.commits.items() if k in needed}
         self.deltas = {k: v for k, v in self.deltas.items() if k[1] in needed}
 
+    def export(self, spark, path: str) -> None:
+        """Writes the history: a document of commits and heads, and the deltas' rows as JSON lines. The state itself isn't in it."""
+        time = "%d/%m/%Y %H:%M:%S"  # fixed value: the format of times, in whole seconds
+        commits = [{"id": c.id, "branch": c.branch, "message": c.message, "parents": list(c.parents), "time": c.time.strftime(time)} for c in self.commits.values()]
+        doc = json.dumps({"current": self.current, "heads": self.heads, "commits": commits})
+        spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/history")
+        parts = [_delta_rows(spark, a, b, side, t, rows) for (a, b), d in self.deltas.items() for side, tables in (("added", d.added), ("removed", d.removed)) for t, rows in tables.items()]
+        none = spark.createDataFrame([], "parent string, child string, side string, part string, row string")
+        for rows in parts:
+            none = none.unionByName(rows)
+        none.write.mode("overwrite").json(f"{path}/deltas")
+
+    def load_history(self, spark, path: str) -> None:
+        """Takes over a history that export() wrote; what is versioned must be in the state of its current head."""
+        doc = json.loads(spark.read.text(f"{path}/history").first().value)
+        self.current, self.heads = doc["current"], doc["heads"]
+        at = lambda x: datetime.strptime(x, "%d/%m/%Y %H:%M:%S").replace(tzinfo=timezone.utc)
+        self.commits = {c["id"]: Commit(c["id"], c["branch"], c["message"], tuple(c["parents"]), at(c["time"])) for c in doc["commits"]}
+        rows = written(spark.read.schema("parent string, child string, side string, part string, row string").json(f"{path}/deltas"), "deltas")
+        there = {(r.parent, r.child, r.side, r.part) for r in rows.select("parent", "child", "side", "part").distinct().collect()}
+        self.deltas = {(p, c.id): Delta({}, {}) for c in self.commits.values() for p in c.parents}
+        for a, b, side, part in there:
+            own = rows.filter((F.col("parent") == a) & (F.col("child") == b) & (F.col("side") == side) & (F.col("part") == part))
+            getattr(self.deltas[a, b], side)[part] = own.select(F.from_json("row", _columns(part)).alias("x")).select("x.*")
+        self._hold()
+
     def history(self, spark) -> DataFrame:
         rows = [(c.id, c.branch, c.message, list(c.parents), c.time) for c in self.commits.values()]
         return spark.createDataFrame(rows, "commit_id string, branch string, message string, parents array<string>, time timestamp").orderBy("time")
 
 
+#: Columns of the tables of a state, by the last part of their name or the first.
+COLUMNS = {"nodes": "node_id string", "edges": "src string, dst string", "node_attrs": "node_id string, key string, value string", "edge_attrs": "src string, dst string, key string, value string", "typing": "old string, new string", "relation": "left string, right string", "catalogue": "kind string, a string, b string, attrs string"}
+
+
+def _columns(part: str) -> str:
+    first = part.split("/")[0]
+    return COLUMNS[first if first in ("typing", "relation", "catalogue") else part.rsplit("/", 1)[-1]]
+
+
+def _delta_rows(spark, parent: str, child: str, side: str, part: str, rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit(parent).alias("parent"), F.lit(child).alias("child"), F.lit(side).alias("side"), F.lit(part).alias("part"), F.to_json(F.struct(*rows.columns)).alias("row"))
+
+
 def _graph_state(g: Graph, name: str) -> State:
     return {f"{name}/{p}": getattr(g, p) for p in PARTS}
 
@@ -225,32 +268,49 @@ class VersionedGraph(Versions):
 
 
 class VersionedHierarchy(Versions):
+    """The state has a catalogue of graphs, typings and relations with their attributes, so that commits know which there were."""
+
     def __init__(self, hierarchy: Hierarchy, branch: str = "master") -> None:
         self.hierarchy = hierarchy
         super().__init__(branch)
 
     def state(self) -> State:
         h = self.hierarchy
-        out = {k: v for name, g in h.graphs.items() for k, v in _graph_state(g, name).items()}
+        said = lambda x: json.dumps(x or {}, sort_keys=True)
+        rows = [("graph", n, "", said(h.attrs.get(n))) for n in h.graphs] + [("typing", *k, said(h.typing_attrs.get(k))) for k in h.typings] + [("relation", *k, said(h.relation_attrs.get(k))) for k in h.relations]
+        out = {"catalogue": _spark().createDataFrame(rows, COLUMNS["catalogue"])}
+        out |= {f"graph/{k}": v for name, g in h.graphs.items() for k, v in _graph_state(g, name).items()}
         return out | {f"typing/{s}/{t}": m for (s, t), m in h.typings.items()} | {f"relation/{a}/{b}": m for (a, b), m in h.relations.items()}
 
     def restore(self, state: State) -> None:
-        h = self.hierarchy
-        h.graphs = {name: _graph_of(state, name) for name in h.graphs}
-        h.typings = {(s, t): state[f"typing/{s}/{t}"] for s, t in h.typings}
-        h.relations = {(a, b): state[f"relation/{a}/{b}"] for a, b in h.relations}
+        h, rows = self.hierarchy, state["catalogue"].orderBy("kind", "a", "b").collect()  # as many as there are graphs and maps between them
+        kind = lambda x: {(r.a, r.b): json.loads(r.attrs) for r in rows if r.kind == x}
+        h.attrs = {a: attrs for (a, _), attrs in kind("graph").items()}
+        h.graphs = {a: _graph_of(state, f"graph/{a}") for a in h.attrs}
+        h.typing_attrs, h.relation_attrs = ({k: v for k, v in kind(x).items() if v} for x in ("typing", "relation"))
+        h.typings = {(s, t): state[f"typing/{s}/{t}"] for s, t in kind("typing")}
+        h.relations = {(a, b): state[f"relation/{a}/{b}"] for a, b in kind("relation")}
 
     def whole(self, state: State) -> State:
-        h, out = self.hierarchy, dict(state)
-        for name in h.graphs:
-            out |= _graph_state(_whole_graph(_graph_of(state, name)), name)
-        for kind, pairs, (a, b) in (("typing", h.typings, ("old", "new")), ("relation", h.relations, ("left", "right"))):
-            for s, t in pairs:
-                key = f"{kind}/{s}/{t}"
-                one, two = out[f"{s}/nodes"].withColumnRenamed("node_id", a), out[f"{t}/nodes"].withColumnRenamed("node_id", b)
+        """Without rows that have lost an end, and without typings and relations of graphs that are gone."""
+        rows = state["catalogue"].collect()
+        graphs = {r.a for r in rows if r.kind == "graph"}
+        kept = [r for r in rows if r.kind == "graph" or {r.a, r.b} <= graphs]
+        out = dict(state) | {"catalogue": _spark().createDataFrame(kept, COLUMNS["catalogue"])}
+        for name in graphs:
+            out |= _graph_state(_whole_graph(_graph_of(state, f"graph/{name}")), f"graph/{name}")
+        for r in kept:
+            if r.kind != "graph":
+                a, b = ("old", "new") if r.kind == "typing" else ("left", "right")
+                key = f"{r.kind}/{r.a}/{r.b}"
+                one, two = out[f"graph/{r.a}/nodes"].withColumnRenamed("node_id", a), out[f"graph/{r.b}/nodes"].withColumnRenamed("node_id", b)
                 out[key] = out[key].join(one, a, "left_semi").join(two, b, "left_semi").select(a, b)
         return out
 
     def rewrite(self, graph: str, rule: Rule, instance: dict[str, str], message: str = "", **control) -> tuple[dict[str, str], str]:
         to = self.hierarchy.rewrite(graph, rule, instance, **control)
         return to, self.commit(message)
+
+
+def _spark() -> SparkSession:
+    return SparkSession.getActiveSession()

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from graftline.functions import attribute_sets as A
 from graftline.functions import regular
+from graftline.functions import typed_sets as T
 from graftline.graph import Graph
-from graftline.operators import category
+from graftline.operators import category, rule_building
 from graftline.operators.hierarchies import Hierarchy
 from graftline.operators.hierarchy import Typed
 from graftline.operators.pattern import Pattern, match
 from graftline.operators.rewrite import Rule, rewrite
+from graftline.operators.rule_algebra import Span, compose
 from graftline.operators.versioning import VersionedGraph
-from graftline.sources.exports import d3_rows
-from graftline.sources.tables import json_rows, node, read, tpch_graph
+from graftline.sources.documents import hierarchy_from_rows, hierarchy_rows
+from graftline.sources.exports import d3_rows, shared_dir, written
+from graftline.sources.tables import from_json_rows, json_rows, node, read, tpch_graph
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,13 +64,22 @@ def node_attr_rows(spark, sf):
 
 @query(f"select src, dst from ({GEO_E})")
 def json_roundtrip(spark, sf):
-    rows = json_rows(tpch_graph(spark, sf, GEO)).filter("kind = 'edge'")
-    return rows.select(F.from_json("doc", "`from` string, `to` string").alias("x")).select(F.col("x.from").alias("src"), F.col("x.to").alias("dst"))
+    return from_json_rows(json_rows(tpch_graph(spark, sf, GEO))).edges
+
+
+@query("select 'n:'||n_nationkey node_id, 'name' key, n_name value from nation union all select 'r:'||r_regionkey, 'name', r_name from region")
+def json_roundtrip_attrs(spark, sf):
+    return from_json_rows(json_rows(tpch_graph(spark, sf, ("region", "nation")))).node_attrs
 
 
 @query("select 's:'||l_suppkey src, 'p:'||l_partkey dst from lineitem group by all having bool_or(l_returnflag = 'R')")
 def filter_edges_by_attr(spark, sf):
-    return tpch_graph(spark, sf, ("supplier", "part"), supplies=True).filter_edges("returnflag", lambda v: F.array_contains(v, "R")).edges
+    return tpch_graph(spark, sf, ("supplier", "part"), supplies=True).filter_edges_holding("returnflag", "R").edges
+
+
+@query("select 's:'||l_suppkey src, 'p:'||l_partkey dst from lineitem group by all having count(distinct l_returnflag) = 2")
+def filter_edges_by_set(spark, sf):
+    return tpch_graph(spark, sf, ("supplier", "part"), supplies=True).filter_edges("returnflag", lambda v: F.size(v) == 2).edges
 
 
 @query("select 's:'||l_suppkey src, 'p:'||l_partkey dst from lineitem where l_returnflag in ('R', 'N') group by all having count(distinct l_returnflag) = 2")
@@ -82,10 +94,12 @@ def induced_subgraph(spark, sf):
     return g.subgraph(chosen).edges
 
 
-@query("select true as equal")
+@query("select 'shuffled' what, true as equal union all select 'without nation 3', (select count(*) from nation where n_nationkey = 3) = 0")
 def graph_equal(spark, sf):
     g = tpch_graph(spark, sf, GEO)
-    return g.equal(Graph(g.nodes.orderBy(F.desc("node_id")), g.edges.repartition(5), g.node_attrs, g.edge_attrs))
+    same = g.equal(Graph(g.nodes.orderBy(F.desc("node_id")), g.edges.repartition(5), g.node_attrs, g.edge_attrs))
+    other = g.equal(g.remove_nodes(frame(spark, [("n:3",)], "node_id string")))
+    return same.select(F.lit("shuffled").alias("what"), "equal").unionByName(other.select(F.lit("without nation 3").alias("what"), "equal"))
 
 
 @query("select 'c:'||c_custkey c, 'n:'||c_nationkey n from customer where c_mktsegment = 'BUILDING'")
@@ -127,7 +141,7 @@ def match_undirected(spark, sf):
 @query("select 'n:'||n_nationkey n, 'r:'||n_regionkey r, 'r:'||r_regionkey x from nation, region where n_regionkey <> r_regionkey")
 def match_isolated(spark, sf):
     g = tpch_graph(spark, sf, ("region", "nation"))
-    return match(g, Pattern({"n": {}, "r": {}, "x": {}}, {("n", "r"): {}}, {"x": "r"}), _typing(g))
+    return match(g, Pattern({"n": {}, "r": {}, "x": {}}, {("n", "r"): {}}, {"x": "r"}), _typing(g), product=True)
 
 
 @query("select 's:'||l_suppkey s, 'p:'||l_partkey p from lineitem where l_returnflag in ('A', 'N') group by all having count(distinct l_returnflag) = 2")
@@ -192,7 +206,14 @@ def homomorphism_violations(spark, sf):
 
 @query(f"select src, dst from ({GEO_E}) where src not like 's:%'")
 def subtract_graph(spark, sf):
-    return tpch_graph(spark, sf, GEO).subtract(tpch_graph(spark, sf, ("nation", "supplier"))).edges.unionByName(tpch_graph(spark, sf, ("region", "nation")).edges).distinct()
+    return tpch_graph(spark, sf, GEO).subtract(tpch_graph(spark, sf, ("nation", "supplier"))).edges
+
+
+@query(f"select src, dst from ({GEO_E}) where src like 'c:%'")
+def subtract_image(spark, sf):
+    """Without what suppliers and regions are mapped to."""
+    g = tpch_graph(spark, sf, GEO)
+    return g.without_image(g.nodes.filter("node_id like 's:%' or node_id like 'r:%'").select(F.col("node_id").alias("old"), F.col("node_id").alias("new"))).edges
 
 
 def _by_region(spark, sf) -> DataFrame:
@@ -257,7 +278,22 @@ IVALS = "with i as (select o_custkey, o_orderkey - 100 lo, o_orderkey + 100 hi f
 
 @query(IVALS + "select o_custkey, string_agg(lo||'..'||hi, ',' order by lo) ivals from s group by 1")
 def int_normalise(spark, sf):
-    return _ivals(spark, sf).select("o_custkey", A.text(A.int_normalise(F.col("ivals"))).alias("ivals"))
+    """Large groups are normalised as rows before they are gathered."""
+    rows = read(spark, sf, "orders").select("o_custkey", (F.col("o_orderkey") - 100).alias("lo"), (F.col("o_orderkey") + 100).alias("hi"))
+    own = A.normalised_rows(rows, "o_custkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ivals"))
+    return own.select("o_custkey", A.text(F.col("ivals")).alias("ivals"))
+
+
+@query(IVALS.replace("from orders)", "from orders union all select distinct o_custkey, 1000, 20000 from orders)", 1) + "select o_custkey, string_agg(lo||'..'||hi, ',' order by lo) ivals from s group by 1")
+def int_union(spark, sf):
+    more = F.array(F.struct(F.lit(1000).cast("long").alias("lo"), F.lit(20000).cast("long").alias("hi")))
+    return _ivals(spark, sf).select("o_custkey", A.text(A.int_union(F.col("ivals"), more)).alias("ivals"))
+
+
+@query(IVALS + "select o_custkey, bool_and(hi <= 40000) inside from s group by 1")
+def int_subset(spark, sf):
+    below = F.array(F.struct(F.lit(None).cast("long").alias("lo"), F.lit(40000).cast("long").alias("hi")))
+    return _ivals(spark, sf).select("o_custkey", A.int_subset(A.int_normalise(F.col("ivals")), below).alias("inside"))
 
 
 @query(IVALS + "select o_custkey, coalesce(string_agg(greatest(lo, 1000)||'..'||least(hi, 20000), ',' order by lo) filter (hi >= 1000 and lo <= 20000), '') ivals from s group by 1")
@@ -343,10 +379,7 @@ def descendants(spark, sf):
 
 def _checkpointed(spark, g: Graph) -> Graph:
     """Rounds cut lineage in the shared folder; one is set only where none is."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graftline-"))
+    shared_dir(spark)
     return g
 
 
@@ -466,9 +499,14 @@ def propagate_clone_two_levels(spark, sf):
     return h.get_typing("low", "mid").select(F.col("old").alias("node_id"), F.col("new").alias("type"))
 
 
-@query(f"select id node_id, 'x' as type from ({GEO_N})")
+@query(f"select id node_id, case when id like 'r:%' then 'y' else 'x' end as type from ({GEO_N})")
 def typing_compose(spark, sf):
-    return _levels(spark, sf).get_typing("low", "top").select(F.col("old").alias("node_id"), F.col("new").alias("type"))
+    """Through the types into a graph of two: regions, and all else."""
+    h = _levels(spark, sf)
+    top = Graph(frame(spark, [("x",), ("y",)], "node_id string"), frame(spark, [("x", "x"), ("x", "y")], "src string, dst string"), h.graphs["top"].node_attrs, h.graphs["top"].edge_attrs)
+    h.add_graph("two", top)
+    h.add_typing("mid", "two", frame(spark, [(x, "y" if x == "r" else "x") for x in "rncs"], "old string, new string"), check=False)
+    return h.get_typing("low", "two").select(F.col("old").alias("node_id"), F.col("new").alias("type"))
 
 
 @query("select 'r:'||r_regionkey node_id from region where r_regionkey <> 1 union all select 'n:'||n_nationkey from nation where n_regionkey <> 1")
@@ -506,3 +544,168 @@ def version_merge(spark, sf):
 def d3_links(spark, sf):
     rows = d3_rows(tpch_graph(spark, sf, GEO)).filter("kind = 'link'")
     return rows.select("kind", F.from_json("doc", "source string, target string").alias("x")).select("kind", "x.source", "x.target")
+
+
+@query("select 'link' kind, 'c:'||c_custkey source, 'n:'||c_nationkey target from customer where c_nationkey < 3")
+def d3_export_links(spark, sf):
+    g = tpch_graph(spark, sf, ("nation", "customer"))
+    chosen = spark.range(3).select(node("n", "id").alias("node_id")).unionByName(g.nodes.filter("node_id like 'c:%'"))
+    rows = d3_rows(g, chosen, node_keys=[]).filter("kind = 'link'")
+    return rows.select("kind", F.from_json("doc", "source string, target string").alias("x")).select("kind", "x.source", "x.target")
+
+
+# -- edge attributes, merging, maps, sets of several kinds ------------------------------------------------------------------
+
+
+def _supplies(spark, sf) -> Graph:
+    return tpch_graph(spark, sf, ("supplier", "part"), supplies=True)
+
+
+FLAGS = "select distinct 's:'||l_suppkey src, 'p:'||l_partkey dst, 'returnflag' key, l_returnflag as value, l_suppkey, l_partkey from lineitem"
+
+
+@query(f"select src, dst, key, value from ({FLAGS}) where l_partkey >= 10 union all select distinct src, dst, 'returnflag', 'X' from ({FLAGS}) where l_partkey < 10")
+def set_edge_attrs(spark, sf):
+    rows = read(spark, sf, "lineitem").filter("l_partkey < 10").select(node("s", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst"), F.lit("returnflag").alias("key"), F.lit("X").alias("value")).distinct()
+    return _supplies(spark, sf).set_edge_attrs(rows).edge_attrs
+
+
+@query("select 'n:3' src, 'r:3' dst, 'since' as key, '1815' as value union all select 'n:3#n2', 'r:3', 'since', '1815' union all select 'n:3', 'r:3', 'kind', 'new'")
+def rewrite_edge_attrs(spark, sf):
+    """An edge's values: cloned with their edge, one removed, one added."""
+    g = tpch_graph(spark, sf, GEO)
+    g = g.add_edge_attrs(frame(spark, [("n:3", "r:3", "since", "1815"), ("n:3", "r:3", "kind", "old")], "src string, dst string, key string, value string"))
+    rule = Rule(("n", "r"), {"n1": "n", "n2": "n", "r": "r"}, {"n1": "n1", "n2": "n2", "r": "r"}, ("n1", "n2", "r"), removed_edge_attrs=(("n1", "r", "kind", "old"), ("n2", "r", "kind", "old")), added_edge_attrs=(("n1", "r", "kind", "new"),), l_edges=(("n", "r"),), l_edge_attrs=(("n", "r", "kind", "old"),))
+    return rewrite(g, rule, {"n": "n:3", "r": "r:3"})[0].edge_attrs
+
+
+@query("select 'm:'||n_regionkey node_id, 'kind' as key, 'nation' as value from nation group by n_regionkey")
+def merge_nodes_intersection(spark, sf):
+    """Nations of a region have different names and one kind."""
+    g = tpch_graph(spark, sf, ("nation",))
+    g = g.add_node_attrs(g.nodes.select("node_id", F.lit("kind").alias("key"), F.lit("nation").alias("value")))
+    return g.merge(_by_region(spark, sf), method="intersection").node_attrs
+
+
+@query(f"select id node_id from ({N['n']}) union all select 'n:3copy'")
+def copy_node(spark, sf):
+    return tpch_graph(spark, sf, ("region", "nation")).copy_node("n:3", "n:3copy").nodes.filter("node_id like 'n:%'")
+
+
+@query("select 'c:'||c_custkey||'|s:'||s_suppkey src, 'n:'||n_nationkey||'|n:'||n_nationkey dst from customer join supplier on c_nationkey = s_nationkey join nation on n_nationkey = c_nationkey")
+def pullback_edges(spark, sf):
+    """Customers and suppliers with their nations, over nations with a loop each."""
+    over = lambda table, key, p: _over(spark, sf, table, key, p).unionByName(read(spark, sf, "nation").select(node("n", "n_nationkey").alias("old"), node("n", "n_nationkey").alias("new")))
+    return category.pullback_graph(tpch_graph(spark, sf, ("nation", "customer")), tpch_graph(spark, sf, ("nation", "supplier")), over("customer", "c_custkey", "c"), over("supplier", "s_suppkey", "s"))[0].edges
+
+
+@query("select 'n:'||min(n_nationkey) over (partition by n_regionkey) node_id from nation qualify row_number() over (partition by n_regionkey order by n_nationkey) = 1")
+def pushout_merges(spark, sf):
+    """Regions' nations, each mapped to its region: gluing nations along regions that both sides know makes one node of a region's nations."""
+    n = read(spark, sf, "nation")
+    b, c = tpch_graph(spark, sf, ("region",)), tpch_graph(spark, sf, ("nation",))
+    to_b = n.select(F.col("n_nationkey").cast("string").alias("old"), node("r", "n_regionkey").alias("new"))
+    to_c = n.select(F.col("n_nationkey").cast("string").alias("old"), node("n", "n_nationkey").alias("new"))
+    names = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("k"), F.min(node("n", "n_nationkey")).alias("least"))
+    nodes = category.pushout(b, c, to_b, to_c).nodes
+    return nodes.join(names, F.col("node_id") == F.col("least")).select(node("n", "k").alias("node_id"))
+
+
+@query(f"select id old, case when id = 'n:3' then 'a' else id end as new from ({N['n']})")
+def map_utilities(spark, sf):
+    own = category.identity(tpch_graph(spark, sf, ("nation",)).nodes)
+    return category.compose_chain([own, category.replace_target(own, "n:3", "a")])
+
+
+@query("select p_partkey, regexp_full_match(p_type, 'S.*') in_regex, p_size between 10 and 20 in_ints, p_size between 10 and 20 or p_size = 3 in_union, regexp_full_match(p_type, 'S.*') and not regexp_full_match(p_type, '.*S') in_difference from part")
+def mixed_sets(spark, sf):
+    """Finite sets against patterns and intervals, unions of finite sets with intervals, differences of patterns."""
+    p = read(spark, sf, "part")
+    ints = T.integers(F.array(F.struct(F.lit(10).cast("long").alias("lo"), F.lit(20).cast("long").alias("hi"))))
+    size, kind = T.finite(F.array(F.col("p_size").cast("string"))), T.finite(F.array("p_type"))
+    s = T.regex(F.lit("S.*"))
+    return p.select("p_partkey", T.subset(kind, s).alias("in_regex"), T.subset(size, ints).alias("in_ints"), T.subset(size, T.union(ints, T.finite(F.array(F.lit("3"))))).alias("in_union"), T.contains(T.difference(s, T.regex(F.lit(".*S"))), F.col("p_type")).alias("in_difference"))
+
+
+@query("select * from (values ('a*', 'a*b*', true), ('[ab]+', 'a+|b+', false), ('a{2,3}', 'aa|aaa', true), ('(?:ab)*', '(ab)*', true), ('a+', 'b+', false)) v(a, b, inside)")
+def regex_inclusion(spark, sf):
+    pairs = spark.createDataFrame([("a*", "a*b*"), ("[ab]+", "a+|b+"), ("a{2,3}", "aa|aaa"), ("(?:ab)*", "(ab)*"), ("a+", "b+")], "a string, b string")
+    return pairs.select("a", "b", T.subset(T.regex(F.col("a")), T.regex(F.col("b"))).alias("inside"))
+
+
+# -- levels: additions, attributes, strictness, lookups; rules; documents -----------------------------------------------------
+
+
+@query("select * from (values ('n', 'r'), ('c', 'n'), ('s', 'n'), ('c', 'new:t:x')) v(src, dst)")
+def propagate_add(spark, sf):
+    """A new node without a type gets one, and its edge is in the types too."""
+    h = _levels(spark, sf)
+    h.rewrite("low", Rule(("c",), {"c": "c"}, {"c": "c"}, ("c", "x"), added_edges=(("c", "x"),), name="t"), {"c": "c:1"})
+    return h.graphs["mid"].edges
+
+
+@query("select * from (values ('n', 'r', 'w', '1')) v(src, dst, key, value)")
+def propagate_attrs(spark, sf):
+    """An edge's new value is its type's too."""
+    h = _levels(spark, sf)
+    rule = Rule(("n", "r"), {"n": "n", "r": "r"}, {"n": "n", "r": "r"}, ("n", "r"), added_edge_attrs=(("n", "r", "w", "1"),), l_edges=(("n", "r"),))
+    h.rewrite("low", rule, {"n": "n:3", "r": "r:3"})
+    return h.graphs["mid"].edge_attrs
+
+
+@query("select 'low' graph, 'removed node' problem, 's:'||s_suppkey as at from supplier")
+def strict_violations(spark, sf):
+    return _levels(spark, sf).strict_violations("mid", Rule(("s",), {}, {}, ()), {"s": "s"})
+
+
+@query("select 'mid' graph, 'n' as type")
+def node_type(spark, sf):
+    return spark.createDataFrame(sorted(_levels(spark, sf).node_type("low", "n:3").items()), "graph string, type string")
+
+
+@query("select 'low' graph")
+def graphs_typed_by_node(spark, sf):
+    return spark.createDataFrame([(x,) for x in _levels(spark, sf).graphs_typed_by_node("mid", "c")], "graph string")
+
+
+@query(f"select id old, 'x' as new from ({GEO_N})")
+def typing_commutes(spark, sf):
+    """A direct typing that says what the path says is accepted."""
+    h = _levels(spark, sf)
+    h.graphs["low"] = h.graphs["low"].with_(node_attrs=h.graphs["low"].node_attrs.limit(0))
+    direct = h.graphs["low"].nodes.select(F.col("node_id").alias("old"), F.lit("x").alias("new"))
+    h.add_typing("low", "top", direct)
+    return h.typings["low", "top"]
+
+
+def _two_rules():
+    first = Span.of(Rule(("n", "m"), {"n": "n", "m": "m"}, {"n": "nm", "m": "nm"}, ("nm",), name="a"))
+    second = Span.of(Rule(("x", "c"), {"x1": "x", "c": "c"}, {"x1": "x1", "c": "c"}, ("x1", "c", "new"), added_edges=(("new", "x1"), ("c", "new")), name="b"))
+    return first, second
+
+
+@query(f"select distinct case src when 'n:4' then 'n:3' else src end src, case dst when 'n:4' then 'n:3' else dst end dst from ({GEO_E}) union all select 'new:ab:new', 'n:3' union all select 'c:1', 'new:ab:new'")
+def compose_equals_sequence(spark, sf):
+    """Two nations merged, and then a node between a customer and them, as one rule."""
+    g = tpch_graph(spark, sf, GEO)
+    first, second = _two_rules()
+    at1 = {"n": "n:3", "m": "n:4"}
+    one, at = first.refined(g, at1)
+    between, to1 = rewrite(g, one.rule(), at)
+    rule2 = second.rule()
+    at2 = {"x": to1[one.p_r["n"]], "c": "c:1"}
+    _, to2 = rewrite(between, rule2, at2)
+    rule, left, _ = compose(one, at, to1, second, at2, to2)
+    return rewrite(g, rule.rule(), left)[0].edges
+
+
+@query("select * from (values ('added edge', 'new x1'), ('added edge', 'c new'), ('added node', 'new')) v(part, what)")
+def rule_components(spark, sf):
+    r = _two_rules()[1].rule()
+    return spark.createDataFrame([("added node", x) for x in rule_building.added_nodes(r)] + [("added edge", f"{a} {b}") for a, b in r.added_edges], "part string, what string")
+
+
+@query(f"select id old, substr(id, 1, 1) as new from ({GEO_N})")
+def hierarchy_json_roundtrip(spark, sf):
+    h = _levels(spark, sf)
+    return hierarchy_from_rows(written(hierarchy_rows(h), "hierarchy")).typings["low", "mid"]

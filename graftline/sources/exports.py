@@ -14,9 +14,11 @@ from graftline.graph import Graph
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, one of our own in local mode; elsewhere executors couldn't see that, so it's an error."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="graphs-")
         spark.sparkContext.setCheckpointDir(held)
         atexit.register(shutil.rmtree, held[len("file://") :], True)
@@ -34,8 +36,12 @@ def written_graph(g: Graph, tag: str) -> Graph:
     return Graph(*[written(df, f"{tag}-{part}") for df, part in zip((g.nodes, g.edges, g.node_attrs, g.edge_attrs), ("nodes", "edges", "node_attrs", "edge_attrs"))])
 
 
-def d3_rows(g: Graph) -> DataFrame:
-    """(kind, doc): {"id", "attrs"} for nodes and {"source", "target", "attrs"} for links, one document a row."""
+def d3_rows(g: Graph, nodes: DataFrame | None = None, node_keys: list[str] | None = None, edge_keys: list[str] | None = None) -> DataFrame:
+    """(kind, doc): {"id", "attrs"} for nodes and {"source", "target", "attrs"} for links, one document a row; of chosen nodes (node_id) and keys only, if given."""
+    if nodes is not None:
+        g = g.subgraph(nodes)
+    only = lambda df, keys: df if keys is None else df.filter(F.col("key").isin(keys))
+    g = g.with_(node_attrs=only(g.node_attrs, node_keys), edge_attrs=only(g.edge_attrs, edge_keys))
 
     def sets(df: DataFrame, attrs: DataFrame, keys: list[str]) -> DataFrame:
         own = attrs.groupBy(*keys, "key").agg(F.sort_array(F.collect_set("value")).alias("vs")).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "vs")))).alias("attrs"))
