@@ -78,9 +78,9 @@ def node_of(url: Column) -> Column:
 def links_of(html: Column) -> Column:
     """Targets of the canonical link and of the refresh redirect, as written. Only pages with such a tag are searched for its address."""
     html = F.coalesce(html, F.lit(""))
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]{0,2000}>"), F.lit(0))
-    href = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<link\b.*\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    to = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    href = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    to = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     return F.when(html.rlike("(?i)canonical|http-equiv"), F.filter(F.concat(href, to), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
@@ -98,13 +98,15 @@ def judge(pages: DataFrame, own: list[Rule] = RULES, redirects: DataFrame | None
 
     Edges: each page's canonical link and refresh redirect, and further `redirects` (src, dst). A class is a component of addresses.
     A page that a rule fits has that rule's verdict. Another takes its class's: allow if a rule allows any address of it (explicit
-    allow goes first), else block if a rule blocks one, else allow. Targets that aren't pages count too. Null and malformed urls have
-    empty host and path, no links and no class; they are allowed. Repeated rows get the same verdict; no rows give no rows."""
+    allow goes first), else block if a rule blocks one, else allow; without links its class is its own normalised address. Targets that aren't pages count too. Null and malformed urls have
+    empty host and path, no links and no class; they are allowed. Repeated rows get the same verdict, rows of one page_id each their own url's; no rows give no rows. Columns
+    besides page_id, url and html, of any name, aren't read."""
     url = F.col("url")
     held = store(
         pages.select("page_id", "url", "html")
         .select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.when(url.contains("://"), node_of(url)).alias("node"), F.when(url.contains("://"), F.transform(links_of(F.col("html")), lambda x: node_of(resolved(url, x)))).alias("targets"))
-        .withColumn("r", rule_for(F.col("host"), F.col("path"), own)),
+        .withColumn("r", rule_for(F.col("host"), F.col("path"), own))
+        .withColumn("nr", rule_for(host_of(F.col("node")), path_of(F.col("node")), own)),
         "pages",
     )
     edges = held.filter(F.size("targets") > 0).select(F.col("node").alias("u"), F.explode("targets").alias("v"))
@@ -117,9 +119,8 @@ def judge(pages: DataFrame, own: list[Rule] = RULES, redirects: DataFrame | None
     # every address of a class is a node of it, so rules are tried on the addresses themselves
     by_class = classes.withColumn("nr", rule_for(host_of(F.col("node")), path_of(F.col("node")), own)).groupBy("component").agg(blocked(F.col("nr")), allowed(F.col("nr")))
     decided = classes.join(by_class, "component").select("node", "component", F.when(F.col("allow") == 1, "allow").when(F.col("block") == 1, "block").otherwise("allow").alias("carried"))
-    # pages alone in their class need no join; those of one address differ in fragments or tracking only and so have the same rule
     out = held.join(decided, "node", "left")
-    return out.select("page_id", "host", "path", _of(F.col("r"), [x.name for x in own]).alias("rule"), F.coalesce(verdict_of(F.col("r")), F.col("carried"), F.lit("allow")).alias("verdict"), F.coalesce("component", "node").alias("alias_of"))
+    return out.select("page_id", "host", "path", _of(F.col("r"), [x.name for x in own]).alias("rule"), F.coalesce(verdict_of(F.col("r")), F.col("carried"), verdict_of(F.col("nr")), F.lit("allow")).alias("verdict"), F.coalesce("component", "node").alias("alias_of"))
 
 
 def op5_urls(spark, sf_dir: str) -> DataFrame:
