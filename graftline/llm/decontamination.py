@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftline.llm.common import read
+from graftline.llm.common import read, store
 
 #: Edits allowed for each character of a test item.
 RATE = 0.05
-#: Items shorter than this, in normalised characters, are no evidence and match nothing.
+#: Unless told otherwise, items shorter than this, in normalised characters, are no evidence and match nothing.
 SHORTEST = 20
-#: Characters of test items that one pass carries to the tasks; more items take more passes.
+#: Characters of test items, about, that one pass carries to the tasks; more items take more passes.
 BLOCK_CHARS = 16_000_000
 
 HITS = "array<struct<item_id: long, start: long, end: long, distance: int>>"
@@ -56,9 +57,9 @@ def normalised(text: str) -> str:
 _SPACES = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
 
 
-def item(item_id: int, text: str | None, rate: float = RATE) -> Item | None:
+def item(item_id: int, text: str | None, rate: float = RATE, shortest: int = SHORTEST) -> Item | None:
     body = normalised(text or "")
-    if len(body) < SHORTEST:
+    if len(body) < max(shortest, 1):
         return None
     budget = int(rate * len(body))
     cuts = [len(body) * i // (budget + 1) for i in range(budget + 2)]
@@ -141,25 +142,39 @@ class Matcher:
         return sorted((i, places[a], places[b - 1] + 1, d) for i, a, b, d in found)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS, shortest: int = SHORTEST) -> DataFrame:
     """Adds to every row `name`, an array of (item_id, start, end, distance): the items of which an occurrence is within the budget.
 
     An item of n normalised characters (A-Z lower-cased, white space as one space) may differ by floor(rate * n) edits; it is cut into one
-    piece more, and as no piece can hide from all edits, one of them stands in the text exactly. Empty, null and short items match nothing, nor do
-    null and empty texts. Items are taken in blocks of bounded size, each against all rows in one pass over them, so memory has a bound."""
-    spark = docs.sparkSession
+    piece more, and as no piece can hide from all edits, one of them stands in the text exactly. Items without characters or with fewer than `shortest` (0: none are too short),
+    with a null text or a null item_id match nothing, nor do null and empty texts. Items equal in id and text are one; those equal in id alone are
+    looked for each, and may give two entries. Repeated rows get the same entries; no rows give no rows. A column called `name` is replaced, others may have any name.
+
+    Items are taken in blocks of bounded size, one after the other, each against all rows in one pass over them; only one block is on the driver and in the tasks at a time."""
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-size // block_chars) or 1
     names = docs.columns
-    out = docs
-    parts = []
-    for block in range(blocks):
-        own = benchmark.filter(F.col("item_id").isNotNull()).filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().collect()
-        items = spark.sparkContext.broadcast([y for x in own if (y := item(x.item_id, x.text, rate))])
-        parts.append(f"__hits_{block}")
-        out = out.withColumn(parts[-1], _finder(items)(F.col(f"`{text}`")))
-    found = F.concat(*parts) if len(parts) > 1 else F.col(parts[0])
-    return out.select(*[F.col(f"`{c}`") for c in names if c != name], found.alias(name))
+    own = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)])
+    body = F.col(f"in_{names.index(text)}")
+    if blocks == 1:
+        out = own.withColumn("found", _finder(_block(benchmark, 0, 1, rate, shortest))(body))
+    else:
+        held = store(own.withColumn("uid", F.monotonically_increasing_id()), "rows")
+        parts = []
+        for block in range(blocks):
+            items = _block(benchmark, block, blocks, rate, shortest)
+            parts.append(store(held.select("uid", _finder(items)(body).alias("found")).filter(F.size("found") > 0), "hits"))
+            items.destroy()
+        found = reduce(DataFrame.unionByName, parts).groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+        out = held.join(found, "uid", "left").withColumn("found", F.coalesce("found", F.array().cast(HITS)))
+    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names) if c != name], F.col("found").alias(name))
+
+
+def _block(benchmark: DataFrame, block: int, blocks: int, rate: float, shortest: int):
+    """A block's items, broadcast."""
+    chosen = benchmark.filter(F.col("item_id").isNotNull()).filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+    rows = chosen.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().collect()
+    return benchmark.sparkSession.sparkContext.broadcast([y for x in rows if (y := item(x.item_id, x.text, rate, shortest))])
 
 
 def _finder(items):
@@ -178,6 +193,8 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in which a test item stands go."""
+    """Pipeline stage: documents in which a test item stands go; null and empty texts and repeated rows stay."""
     names = docs.columns
-    return hits(docs, read(spark, sf_dir, "benchmark"), "__found").filter(F.size("__found") == 0).select(*names)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)])
+    found = hits(own, read(spark, sf_dir, "benchmark"), "found", f"in_{names.index('text')}")
+    return found.filter(F.size("found") == 0).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)])
