@@ -19,8 +19,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A character without which a text has no match of the kind.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: A pattern without which a text has no match of the kind.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
 #: High-recall generators of the same kinds; their spans may overlap the base's and each other.
 CANDIDATES = {
@@ -84,8 +84,7 @@ def base_spans(text: Column) -> Column:
     parts = []
     for kind in KINDS:
         at = F.filter(spans(text, BASE[kind], kind), lambda s: valid(kind, s["match"]))  # noqa: B023
-        needs = text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike("[0-9][ -]?[0-9]")
-        parts.append(F.when(needs, at).otherwise(none))
+        parts.append(F.when(text.rlike(NEEDS[kind]), at).otherwise(none))
     return F.concat(*parts)
 
 
@@ -243,7 +242,7 @@ def _proposed(docs: DataFrame) -> DataFrame:
     may = F.col("text").rlike("@|[0-9][^A-Za-z]{0,3}[0-9]|[\\[(] ?at ?[\\])]")
     none = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
     found = F.concat(*[spans(F.col("text"), CANDIDATES[k], k) for k in KINDS])
-    return docs.withColumn("base", F.when(may, base_spans(F.col("text"))).otherwise(none)).withColumn("candidates", F.when(may, found).otherwise(none))
+    return docs.withColumn("base", base_spans(F.col("text"))).withColumn("candidates", F.when(may, found).otherwise(none))
 
 
 def fit(docs: DataFrame) -> Model:
