@@ -20,6 +20,6 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
     at = F.shiftrightunsigned("key", 64 - FILTER_BITS.bit_length() + 1)
     longs = keys.select(at.alias("b")).groupBy(F.expr("cast(b div 64 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    got = np.array([(x.at, x.bits) for x in longs.collect()], np.int64).reshape(-1, 2)
-    out[got[:, 0]] = got[:, 1]
+    got = longs.toArrow()
+    out[got["at"].to_numpy()] = got["bits"].to_numpy()
     return out.view(np.uint8)

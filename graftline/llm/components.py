@@ -31,8 +31,8 @@ def _mark(edges: DataFrame) -> tuple:
 def components(pairs: DataFrame) -> DataFrame:
     """pairs (u, v) of one comparable type -> (node, component): the least node that links reach; one row for each node of a pair of distinct nodes.
 
-    Nulls are dropped. Every step is a join and an aggregation with map-side combining, so a hub's edges are never gathered in one
-    task; each round is written to the shared folder, and the number of rounds grows with the logarithm of the number of nodes."""
+    Nulls are dropped. Every step is an aggregation with map-side combining and a join with its result, of which a hub's edges are the long side, so that Spark can
+    deal them over tasks; each round is written to the shared folder, and the number of rounds grows with the logarithm of the number of nodes."""
     edges = store(_distinct_edges(pairs.select("u", "v").dropna()), "edges")
     mark = _mark(edges)
     while mark[0]:
