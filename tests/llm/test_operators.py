@@ -70,20 +70,35 @@ def test_jaccard_join(docs):
 def test_signatures_meet():
     import numpy as np
 
-    from graftline.llm.jaccard_join import Bands, signatures, signatures_of
+    from graftline.llm.hashing import mix
+    from graftline.llm.jaccard_join import Bands, signatures_of
 
     bands, rng = Bands(4, 5), np.random.default_rng(1)
+    # any levels give similar sets a common key, as long as shared keys have one above 0
+    costs = [lambda k: np.ones(len(k), np.int64), lambda k: (mix(k) % np.uint64(9) + np.uint64(1)).astype(np.int64), lambda k: np.where(mix(k) % np.uint64(3) == 0, 15, 1)]
     for n in [*range(1, 40), 60, 100, 250, 700]:
-        for _ in range(20):
+        for turn in range(30):
             s = rng.integers(0, 2**63, n, dtype=np.uint64)
             t = s[: n - int(rng.integers(0, n // 8 + 1))]
             t = np.concatenate([t, rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)])
             both = len(np.intersect1d(s, t))
             if 5 * both >= 4 * (len(s) + len(t) - both):
-                keys = [np.concatenate([signatures(np.sort(x), b, bands) for b in (bands.of(len(x)), bands.of(len(x)) - 1) if b >= 0]) for x in (s, t)]
-                assert len(np.intersect1d(*keys)), (len(s), len(t))
-            got, which = signatures_of([np.sort(s), np.sort(t)], bands)
-            assert set(got[which == 0].tolist()) == set(np.concatenate([signatures(np.sort(s), b, bands) for b in (bands.of(n), bands.of(n) - 1) if b >= 0]).tolist())
+                counted = set(signatures_of([np.sort(s)], bands)[0].tolist()) & set(signatures_of([np.sort(t)], bands)[0].tolist())
+                shared = lambda k: np.where(np.isin(k, np.array(sorted(counted), np.uint64)), costs[turn % 3](k), 0)  # noqa: B023, E731
+                keys, which = signatures_of([np.sort(s), np.sort(t)], bands, shared)
+                assert set(keys[which == 0].tolist()) & set(keys[which == 1].tolist()), (len(s), len(t))
+
+
+def test_levels(spark):
+    import numpy as np
+
+    from graftline.llm.jaccard_join import level_of, levels
+
+    rng = np.random.default_rng(4)
+    keys, n = rng.integers(-(2**63), 2**63, 500), rng.integers(2, 40_000, 500)
+    table = levels(spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys, n, strict=True)], "key long, n long"))
+    assert (level_of(table, keys.view(np.uint64)) >= np.minimum(np.floor(np.log2(n)) + 1, 15)).all()
+    assert (level_of(table, rng.integers(0, 2**63, 500, dtype=np.uint64)) > 0).sum() < 5
 
 
 def lev(a, b):
@@ -156,7 +171,7 @@ def test_language_model(docs):
     assert Counter((r.doc_id, round(r.base_score, 6)) for r in out) == want
     assert all(r.train_tokens == n and r.score < 0 for r in out)
     rng = np.random.default_rng(2)
-    chain = lm.maximise(rng.random((20 + 2 + 3, 3)), np.full(20, 0.05))
+    chain = lm.maximise(rng.random((20 + 1 + 3, 3)), np.full(20, 0.05))
     seqs = [rng.integers(0, 20, k) for k in (1, 5, 300, 2500)]
     assert np.allclose(lm.likelihoods(seqs, chain), [lm.likelihood(s, chain) for s in seqs])
 
@@ -185,7 +200,7 @@ def test_expected_counts_by_enumeration():
     from graftline.llm import language_model as lm
 
     rng = np.random.default_rng(3)
-    chain = lm.maximise(rng.random((4 + 2 + 2, 2)), np.full(4, 0.25))
+    chain = lm.maximise(rng.random((4 + 1 + 2, 2)), np.full(4, 0.25))
     s = np.array([0, 3, 1, 1])
     total, emitted = 0.0, np.zeros((4, 2))
     for path in itertools.product(range(2), repeat=4):
@@ -195,7 +210,7 @@ def test_expected_counts_by_enumeration():
         total += p
         for i, z in enumerate(path):
             emitted[s[i], z] += p
-    _, _, moves, got, log = lm.expect([s], np.array([True]), chain, 4)
+    _, moves, got, log = lm.expect([s], chain, 4)
     assert np.allclose(got, emitted / total) and math.isclose(log, math.log(total)) and math.isclose(moves.sum(), 3)
 
 
