@@ -41,10 +41,11 @@ class Rule:
 
     def __post_init__(self) -> None:
         """Raises RewritingError if the parts don't make a span."""
-        wrong = [f"{p} comes from no node of L" for p, l in self.p_l.items() if l not in self.l_nodes]
-        wrong += [f"{p} goes to no node of R" for p in self.p_l if self.p_r.get(p) not in self.r_nodes]
+        ls, rs = set(self.l_nodes), set(self.r_nodes)
+        wrong = [f"{p} comes from no node of L" for p, l in self.p_l.items() if l not in ls]
+        wrong += [f"{p} goes to no node of R" for p in self.p_l if self.p_r.get(p) not in rs]
         wrong += [f"{p} is no node of P" for p in self.p_r if p not in self.p_l]
-        for nodes, rows, ends in ((self.p_l, self.removed_edges, 2), (self.r_nodes, self.added_edges, 2), (self.p_l, self.removed_attrs, 1), (self.r_nodes, self.added_attrs, 1), (self.p_l, self.removed_edge_attrs, 2), (self.r_nodes, self.added_edge_attrs, 2), (self.l_nodes, self.l_edges, 2), (self.l_nodes, self.l_attrs, 1), (self.l_nodes, self.l_edge_attrs, 2)):
+        for nodes, rows, ends in ((self.p_l, self.removed_edges, 2), (rs, self.added_edges, 2), (self.p_l, self.removed_attrs, 1), (rs, self.added_attrs, 1), (self.p_l, self.removed_edge_attrs, 2), (rs, self.added_edge_attrs, 2), (ls, self.l_edges, 2), (ls, self.l_attrs, 1), (ls, self.l_edge_attrs, 2)):
             wrong += [f"{x} isn't there" for row in rows for x in row[:ends] if x not in nodes]
         if wrong:
             raise RewritingError(f"rule {self.name}: {wrong[0]}")
@@ -57,6 +58,14 @@ class Rule:
 SCHEMAS = {"nodes": "node_id string", "edges": "src string, dst string", "node_attrs": "node_id string, key string, value string", "edge_attrs": "src string, dst string, key string, value string", "moved": "old string, new string"}
 
 
+def preimages(mapping: dict[str, str]) -> dict[str, list[str]]:
+    """Each image -> what is sent to it, in order: rules refined at large graphs have many nodes, so none is looked for among all."""
+    out: dict[str, list[str]] = {}
+    for x, y in mapping.items():
+        out.setdefault(y, []).append(x)
+    return out
+
+
 def frame(spark, rows, kind: str) -> DataFrame:
     """A rule-sized table."""
     return F.broadcast(spark.createDataFrame(list(rows), SCHEMAS[kind]))
@@ -105,14 +114,15 @@ def free_ids(graph: Graph, wanted: list[str]) -> dict[str, str]:
 def places(graph: Graph, rule: Rule, instance: dict[str, str], check: bool = True) -> tuple[dict[str, str], dict[str, str]]:
     """Where P's nodes and R's nodes are to be. The first of a node's copies (by name) keeps its id; with `check`, new ids are such that the graph has no node of that id."""
     at: dict[str, str] = {}
+    over, into = preimages(rule.p_l), preimages(rule.p_r)
     for l in rule.l_nodes:
-        for k, p in enumerate(sorted(p for p, x in rule.p_l.items() if x == l)):
+        for k, p in enumerate(sorted(over.get(l, ()))):
             at[p] = instance[l] if k == 0 else f"{instance[l]}#{p}"
-    added = {r: f"new:{rule.name}:{r}" for r in rule.r_nodes if r not in rule.p_r.values()}
+    added = {r: f"new:{rule.name}:{r}" for r in rule.r_nodes if r not in into}
     fresh = [*(x for p, x in at.items() if x != instance[rule.p_l[p]]), *added.values()]
     new = free_ids(graph, fresh) if check else {x: x for x in fresh}
     at = {p: new.get(x, x) for p, x in at.items()}
-    to = {r: min((at[p] for p, x in rule.p_r.items() if x == r), default=None) or new[added[r]] for r in rule.r_nodes}
+    to = {r: min((at[p] for p in into.get(r, ())), default=None) or new[added[r]] for r in rule.r_nodes}
     return at, to
 
 
@@ -127,7 +137,8 @@ def rewrite(graph: Graph, rule: Rule, instance: dict[str, str] | None = None, ch
         check_instance(graph, rule, instance)
     at, to = named or places(graph, rule, instance, check)
     g = graph
-    gone = [(instance[l],) for l in rule.l_nodes if l not in rule.p_l.values()]
+    kept = set(rule.p_l.values())
+    gone = [(instance[l],) for l in rule.l_nodes if l not in kept]
     if gone:
         g = g.remove_nodes(frame(spark, gone, "nodes"))
     moved = [(instance[rule.p_l[p]], x) for p, x in at.items()]
@@ -148,7 +159,8 @@ def rewrite(graph: Graph, rule: Rule, instance: dict[str, str] | None = None, ch
 def expand(g: Graph, rule: Rule, to: dict[str, str], new: list[str] | None = None) -> Graph:
     """Adds what the rule adds, R's nodes being at `to`; new: nodes of R that are added (by default those that P doesn't reach)."""
     spark = g.nodes.sparkSession
-    added = [(to[r],) for r in (new if new is not None else [r for r in rule.r_nodes if r not in rule.p_r.values()])]
+    reached = set(rule.p_r.values())
+    added = [(to[r],) for r in (new if new is not None else [r for r in rule.r_nodes if r not in reached])]
     if added:
         g = g.add_nodes(frame(spark, added, "nodes"))
     if rule.added_edges:

@@ -161,3 +161,24 @@ def test_rule_documents(people):
     again = Span.from_json(doc, "e").rule()
     at = {"x": "a", "y": "d"}
     assert shown(rewrite(people, again, at)[0]) == shown(rewrite(people, rule, at)[0])
+
+
+def test_rules_of_hubs():
+    """A rule refined at a hub has as many nodes as the hub has neighbours: the work grows with their number, not with its square."""
+    import time
+
+    from graftline.operators.rewrite import places
+    from graftline.operators.rule_algebra import Small
+
+    leaves = [f"c{i}" for i in range(20_000)]
+    star = Small({x: {} for x in ["h", *leaves]}, {(x, "h"): {} for x in leaves})
+    same = {x: x for x in star.nodes}
+    began = time.process_time()
+    span = Span(star, star, star, same, same, "a")
+    rule = span.rule()
+    assert rule.l_edges == tuple(star.edges) and not rule.removed_edges and not rule.added_edges
+    again = Span.of(rule)
+    out, left, right = compose(span, same, same, again, same, same)
+    assert (out.left, out.p, out.right) == (star, star, star) and left == right == same
+    assert places(None, rule, same, False) == (same, same)
+    assert time.process_time() - began < 20
