@@ -339,3 +339,14 @@ def test_pipeline_by_stages(spark, sf):
     place = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert Counter(map(tuple, five.select(place).collect())) == Counter(map(tuple, pack_documents(four, public_vocabulary()).select(place).collect()))
     assert corpus_pipeline.run(spark, sf).count() == five.count()
+
+
+def test_edits_are_decided_by_even_tasks(spark):
+    """The automaton compares each character once, and runs on pairs that were dealt over the tasks, not within the join before."""
+    from graftline.llm import line_dedup
+
+    lines = spark.createDataFrame([(1, "abcdefghij"), (2, "abcdefghix"), (3, "abcdefgyyx"), (4, "0123456789")], "k1 long, line string")
+    pairs = line_dedup.near_pairs(lines)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "Join" not in plan and plan.count("CASE WHEN") == 2 * line_dedup.THRESHOLD + 1
+    assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in pairs.distinct().collect()) == [(1, 2), (2, 3)]
